@@ -1,0 +1 @@
+"""Empty on purpose: none of the market reports reads a stream."""
