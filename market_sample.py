@@ -117,12 +117,25 @@ def needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The supplied tables and the listing tables derived from them, none of them run."""
-    tables = {name: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")) for name in BASE_TABLES}
-    for name, text in VIEWS.items():
-        tables[name] = spark.sql(text, **{t: tables[t] for t in needs(text)})
-    return tables
+class SampleTables(dict):
+    """The supplied tables and the listing tables derived from them, defined on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in VIEWS:
+            text = VIEWS[name]
+            table = self.spark.sql(text, **{t: self[t] for t in needs(text)})
+        else:
+            table = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        self[name] = table
+        return table
+
+
+def load(spark: SparkSession, sf_dir: str) -> SampleTables:
+    return SampleTables(spark, sf_dir)
 
 
 def as_sql(body: str) -> str:

@@ -37,11 +37,9 @@ def area_code(area="area") -> Column:
 
 
 def area_label(code: Column, labels: Mapping[str, str]) -> Column:
-    """Market area of a code; NULL if the code has none."""
-    by_label: dict[str, list[str]] = {}
-    for value, label in labels.items():
-        by_label.setdefault(label, []).append(value)
-    return first_match((code.isin(values), label) for label, values in by_label.items())
+    """Market area of a code; NULL if the code has none. The mapping is one constant."""
+    pairs = [F.lit(text) for pair in labels.items() for text in pair]
+    return F.try_element_at(F.create_map(*pairs), code)
 
 
 def first_match(rules: Iterable[tuple[Column, str]], default: str | None = None) -> Column:
@@ -192,6 +190,18 @@ def on_market_at(
     )
 
 
+def open_or_closed_since(
+    first: Column, status="standard_status", close_date="close_date"
+) -> Column:
+    """Rows that can be on the market, or be sold, on or after a date.
+
+    A superset of every inventory and sales test from ``first`` on, made of comparisons a
+    Parquet scan can push down, so that older sales never reach a shuffle.
+    """
+    closed = col(close_date)
+    return closed.isNull() | (closed >= first) | col(status).isin(*K.STATUS_ON_MARKET)
+
+
 def in_trailing(date: str | Column, end: Column, months: int) -> Column:
     """Within the months up to and including ``end``."""
     return (col(date) <= end) & (col(date) > F.add_months(end, -months))

@@ -10,9 +10,8 @@ is spread over many tasks until at most one bin of distinct values is left of it
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -97,58 +96,49 @@ def exact_median(
     its shuffle is reused. Sums must not be NULL.
     """
     keys, sums = list(keys), list(sums)
-    binned = hist.select(
-        *keys, "value", "n", *sums, F.floor(F.col("value").cast("double") / bin_width).alias("_bin")
-    )
-    group = Window.partitionBy(*keys).orderBy("_bin")
-    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weight = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    group = f"partition by {', '.join(keys)}"
+    upto = f"({group} order by _bin rows between unbounded preceding and current row)"
+    whole = f"({group} order by _bin rows between unbounded preceding and unbounded following)"
+    # Ranks of the middle values: equal for an odd total, neighbours for an even one.
+    low, high = "(_total + 1) div 2", "(_total + 2) div 2"
+    rest = [f"_rest_{c}" for c in sums]
 
-    bins = binned.groupBy(*keys, "_bin").agg(
-        F.sum(weight).alias("_w"), *[F.sum(c).alias(c) for c in sums]
+    binned = hist.selectExpr(
+        *keys, "value", "n", *sums, f"floor(cast(value as double) / {bin_width}) as _bin"
     )
-    bins = bins.withColumns({"_upto": F.sum("_w").over(upto), "_total": F.sum("_w").over(whole)})
-    # Ranks of the middle values: equal for an odd total, neighbours for an even one.
-    low, high = F.expr("(_total + 1) div 2"), F.expr("(_total + 2) div 2")
-    middle = (F.col("_total") == 0) | (
-        (F.col("_w") > 0) & (F.col("_upto") >= low) & (F.col("_upto") - F.col("_w") < high)
+    bins = binned.groupBy(*keys, "_bin").agg(
+        F.expr("sum(if(value is null, 0, n)) as _w"), *[F.expr(f"sum({c}) as {c}") for c in sums]
     )
-    bins = bins.withColumn("_middle", middle)
-    rest = {
-        f"_rest_{c}": F.sum(F.when(~F.col("_middle"), F.col(c))).over(whole) for c in sums
-    }
     located = (
-        bins.withColumns(rest)
+        bins.selectExpr("*", f"sum(_w) over {upto} as _upto", f"sum(_w) over {whole} as _total")
+        .selectExpr(
+            "*",
+            f"_total = 0 or (_w > 0 and _upto >= {low} and _upto - _w < {high}) as _middle",
+        )
+        .selectExpr(
+            *keys, "_bin", "_upto - _w as _below", "_total", "_middle",
+            *[f"sum(if(_middle, null, {c})) over {whole} as _rest_{c}" for c in sums],
+        )
         .where("_middle")
-        .select(*keys, "_bin", (F.col("_upto") - F.col("_w")).alias("_below"), "_total", *rest)
-    )
-
-    same = reduce(
-        Column.__and__, [F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, "_bin")]
     )
-    near = (
-        binned.alias("h")
-        .join(located.alias("t"), same)
-        .select("h.*", *[f"t.{c}" for c in ("_below", "_total", *rest)])
+    same = " and ".join(f"h.{k} <=> t.{k}" for k in (*keys, "_bin"))
+    near = binned.alias("h").join(located.alias("t"), F.expr(same)).selectExpr(
+        "h.*", "t._below", "t._total", *[f"t.{c}" for c in rest]
     )
-    by_value = Window.partitionBy(*keys).orderBy("value")
-    running = by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = near.withColumn(
-        "_run", F.min("_below").over(everything) + F.sum("n").over(running)
+    near = near.selectExpr(
+        "*",
+        f"""min(_below) over ({group} order by value
+              rows between unbounded preceding and unbounded following)
+            + sum(n) over ({group} order by value
+              rows between unbounded preceding and current row) as _run""",
     )
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_run") >= rank) & (F.col("_run") - F.col("n") < rank)
+    def middle_value(rank: str) -> str:
+        return f"sum(if(_run >= {rank} and _run - n < {rank}, value, null))"
 
-    middles = F.sum(F.when(holds(low), F.col("value"))) + F.sum(F.when(holds(high), F.col("value")))
     return near.groupBy(*keys).agg(
-        (middles.cast("double") / 2).alias("median"),
-        *[
-            (F.coalesce(F.first(f"_rest_{c}"), F.lit(0)) + F.sum(c)).alias(c)
-            for c in sums
-        ],
+        F.expr(f"cast({middle_value(low)} + {middle_value(high)} as double) / 2 as median"),
+        *[F.expr(f"coalesce(first(_rest_{c}), 0) + sum({c}) as {c}") for c in sums],
     )
 
 

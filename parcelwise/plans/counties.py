@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -14,7 +14,7 @@ from ..functions.frames import eval_frame, quarter_frame
 from ..operators import statistics as S
 from ..operators.joins import region_weights
 from ..sources.tables import LISTING_KEYS
-from .market_areas import any_of, band_columns, band_measures, year_rows
+from .market_areas import band_columns, band_measures, year_rows
 
 Tables = Mapping[str, DataFrame]
 
@@ -104,8 +104,8 @@ def county_histogram(
         y: C.in_half_open("close_date", day, 12) & (F.col("close_price") > 0)
         for y, day in days.items()
     }
-    wanted = any_of([*quarters.values(), *on_market.values(), *sold.values()])
-    listings = t["listings"].where(F.col("property_type").isin("Residential", "Land") & wanted)
+    recent = C.open_or_closed_since(F.add_months(frame.py_eval_date, -12))
+    listings = t["listings"].where(F.col("property_type").isin("Residential", "Land") & recent)
     rows = county_rows(listings, t, scope).withColumn("PropertyType", C.property_class())
 
     in_sales = F.lit(True) if strict_parity else scope.covered()
@@ -154,12 +154,8 @@ def side_by_side(hist: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFram
         *keys, "year", *FLOWS, *S.sales_columns()
     )
     return stats.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("year") == y, F.col(c))).alias(f"{y}_{c}")
-            for y in YEARS
-            for c in STATS
-        ],
-        *[F.nullif(F.sum(c), F.lit(0)).alias(c) for c in FLOWS],
+        *[F.expr(f"max({c}) filter (where year = '{y}') as {y}_{c}") for y in YEARS for c in STATS],
+        *[F.expr(f"nullif(sum({c}), 0) as {c}") for c in FLOWS],
     )
 
 
@@ -170,10 +166,23 @@ def all_of(tests) -> Column:
     return out
 
 
-def from_grain(grain: str, column: str, same: Sequence[str]) -> Column:
-    """A column of the coarser row that agrees on ``same``; the report is small by then."""
-    window = Window.partitionBy(*same) if same else Window.partitionBy(F.lit(1))
-    return F.max(F.when(F.col("grain") == grain, F.col(column))).over(window)
+FETCHED = (*[f"{y}_{c}" for y in YEARS for c in ("price_per_foot", "MedianPrice")], *FLOWS)
+
+
+def with_coarser(wide: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add figures of the coarser row that agrees on the grain's columns.
+
+    The rows are the report's own by now, a few per county.
+    """
+    return wide.selectExpr(
+        "*",
+        *[
+            f"max(if(grain = '{grain}', {c}, null)) "
+            f"over (partition by {', '.join(cols) or '1'}) as {grain}_{c}"
+            for grain, cols in sets.items()
+            for c in FETCHED
+        ],
+    )
 
 
 def supply(inventory: Column, sold: Column) -> Column:
@@ -198,19 +207,9 @@ def county_class(
             "all": [],
         },
     )
-    same = {"county": ["County"], "class": ["PropertyType"], "all": []}
-    fetched = {
-        f"{g}_{c}": from_grain(g, c, cols)
-        for g, cols in same.items()
-        for c in (
-            *[f"{y}_{s}" for y in YEARS for s in ("price_per_foot", "MedianPrice")],
-            *FLOWS,
-        )
-    }
-    out = wide.withColumns(fetched).where(
-        (F.col("grain") == "cell")
-        & (F.col("PropertyType") != K.CLASS_OTHER)
-        & ((F.col("cy_sales_count") > 0) | (F.col("py_sales_count") > 0))
+    wide = with_coarser(wide, {"county": ["County"], "class": ["PropertyType"], "all": []})
+    out = wide.where("grain = 'cell' and (cy_sales_count > 0 or py_sales_count > 0)").where(
+        F.col("PropertyType") != K.CLASS_OTHER
     )
     tri_sold = "class_sold_py" if strict_parity else "class_sold_cy"
     return out.select(
@@ -256,14 +255,9 @@ def county_all(
     """
     hist = county_histogram(t, eval_date, scope or CountyScope(), strict_parity, with_class=False)
     wide = side_by_side(hist, {"county": ["County"], "all": []})
-    fetched = {
-        f"all_{c}": from_grain("all", c, [])
-        for c in (*[f"{y}_{s}" for y in YEARS for s in ("price_per_foot", "MedianPrice")], *FLOWS)
-    }
     fourth = (scope or CountyScope()).fourth
-    out = wide.withColumns(fetched).where(
-        (F.col("grain") == "county")
-        & ((F.col("cy_sales_count") > 0) | (F.col("py_sales_count") > 0))
+    out = with_coarser(wide, {"all": []}).where(
+        "grain = 'county' and (cy_sales_count > 0 or py_sales_count > 0)"
     )
 
     def tri_price(y: str) -> Column:
@@ -326,8 +320,8 @@ def price_range_county(
         )
         for tag, end in ends.items()
     }
-    wanted = any_of(c for group in tests.values() for c in group)
-    listings = t["listings"].where((F.col("property_type") == "Residential") & wanted)
+    recent = C.open_or_closed_since(F.add_months(frame.py_end, -12))
+    listings = t["listings"].where((F.col("property_type") == "Residential") & recent)
     rows = county_rows(listings, t, scope).where(scope.covered())
     rows = rows.withColumn("band", C.price_band("list_price", breaks, null_band=len(breaks) + 1))
     measures = {tag: band_measures(*group, F.col("weight")) for tag, group in tests.items()}

@@ -62,18 +62,21 @@ class AreaRules:
     def supply(cls) -> AreaRules:
         return cls(K.AREA_LABELS_SUPPLY, supply_overlays())
 
-    def areas(self) -> Column:
-        code = C.area_code()
-        return C.overlapping_areas(code, self.labels, self.overlays(code))
+    def areas(self, listings: DataFrame) -> DataFrame:
+        """Area listings with their market areas as the array column ``areas``."""
+        code = F.col("area_code")
+        return listings.withColumn("area_code", C.area_code()).withColumn(
+            "areas", C.overlapping_areas(code, self.labels, self.overlays(code))
+        )
 
 
 def area_rows(listings: DataFrame, t: Tables, rules: AreaRules, label: str) -> DataFrame:
     """Residential listings, once per market area; the area table's dates as ``m_*``."""
-    places = t["area_listings"].select(
+    places = rules.areas(t["area_listings"]).select(
         *LISTING_KEYS,
         F.col("list_date").alias("m_list_date"),
         F.col("close_date").alias("m_close_date"),
-        rules.areas().alias("areas"),
+        "areas",
     )
     homes = having_geo(listings.where(F.col("property_type") == "Residential"), t["listings_geo"])
     joined = homes.join(places.where(F.size("areas") > 0), list(LISTING_KEYS))
@@ -94,8 +97,7 @@ def market_area(
         "inv_py": C.on_market_at(C.date_literal(py_eval_date)),
     }
     sold = F.col("close_date").isNotNull()
-    wanted = sold | on_market["inv_cy"] | on_market["inv_py"]
-    rows = area_rows(t["listings"].where(wanted), t, rules or AreaRules(), "Area")
+    rows = area_rows(t["listings"], t, rules or AreaRules(), "Area")
     rows = S.by_close_quarter(S.sale_measures(rows, "m_list_date", "m_close_date"))
     rows = rows.withColumns({c: F.when(sold, F.col(c)) for c in ("price", "dom")})
 
@@ -173,7 +175,8 @@ def price_range_area(
         )
         for tag, (day, end) in years.items()
     }
-    listings = t["listings"].where(any_of(c for group in tests.values() for c in group))
+    first = F.least(C.date_literal(py_eval_date), F.add_months(frame.py_end, -3))
+    listings = t["listings"].where(C.open_or_closed_since(first))
     rows = area_rows(listings, t, rules or AreaRules(), "area").withColumn(
         "band", C.price_band("list_price", breaks, null_band=len(breaks) + 1)
     )
@@ -199,14 +202,6 @@ def band_columns(breaks: Sequence[int], months: int) -> list[Column]:
     ]
 
 
-def any_of(tests) -> Column:
-    """True if any test holds; used to drop rows no measure needs before a join."""
-    out = None
-    for test in tests:
-        out = test if out is None else out | test
-    return out
-
-
 def supply_demand(
     t: Tables,
     end_date,
@@ -223,7 +218,8 @@ def supply_demand(
     end = C.date_literal(end_date)
     supply = C.on_market_at(F.date_sub(end, 1))
     demand = C.in_half_open("close_date", end, 6) & (F.col("close_price") > 0)
-    rows = area_rows(t["listings"].where(supply | demand), t, rules or AreaRules.supply(), "Area")
+    listings = t["listings"].where(C.open_or_closed_since(F.add_months(end, -6)))
+    rows = area_rows(listings, t, rules or AreaRules.supply(), "Area")
 
     top = len(breaks) + 1
     entries = F.array_compact(
