@@ -379,9 +379,9 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "area_code": lambda t: t["area_listings"].select("listing_key", C.area_code().alias("area_code")),
     "area_label": lambda t: labelled(t, K.AREA_LABELS),
     "area_label_ytd": lambda t: labelled(t, K.AREA_LABELS_SUPPLY),
-    "overlapping_areas": lambda t: AREA_RULES.areas(t["area_listings"]).select(
-        "listing_key", F.explode("areas").alias("Area")
-    ),
+    "overlapping_areas": lambda t: C.explode_present(
+        AREA_RULES.areas(t["area_listings"]), "Area", F.col("areas")
+    ).select("listing_key", "Area"),
     "price_band_5": lambda t: banded(t, K.BREAKS_5, 5, None),
     "price_band_4": lambda t: banded(t, K.BREAKS_4, 4, None),
     "price_band_16": lambda t: banded(t, K.BREAKS_16, 16, 16),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -52,14 +52,14 @@ def first_match(rules: Iterable[tuple[Column, str]], default: str | None = None)
 
 
 def overlapping_areas(code: Column, labels: Mapping[str, str], overlays) -> Column:
-    """All areas a row belongs to, as an array without NULLs.
+    """The areas a row belongs to: an array with a place for each, NULL where it does not.
 
-    ``overlays`` holds (label, condition) pairs. Exploding the array gives the rows of
-    a UNION ALL over the areas, from a single scan.
+    ``overlays`` holds (label, condition) pairs. Exploding the array and dropping NULLs
+    gives the rows of a UNION ALL over the areas, from a single scan.
     """
     members = [area_label(code, labels)]
     members += [F.when(test, label) for label, test in overlays]
-    return F.array_compact(F.array(*members))
+    return F.array(*members)
 
 
 def company_name(office_name="office_name", rules=K.COMPANY_RULES) -> Column:
@@ -116,7 +116,17 @@ def band_texts(breaks: Sequence[int]) -> list[str]:
 
 
 def band_label(band: str | Column, breaks: Sequence[int]) -> Column:
-    return F.element_at(F.array(*map(F.lit, band_texts(breaks))), col(band))
+    texts = enumerate(band_texts(breaks), start=1)
+    return first_match((col(band) == number, text) for number, text in texts)
+
+
+def explode_present(df: DataFrame, name: str, items: Column) -> DataFrame:
+    """One row per item of an array that is not NULL.
+
+    Filtering after the explode keeps the stage compiled; a lambda over the array, as in
+    ``array_compact``, would not.
+    """
+    return df.withColumn(name, F.explode(items)).where(F.col(name).isNotNull())
 
 
 # --- measures ----------------------------------------------------------------

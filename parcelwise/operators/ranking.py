@@ -33,9 +33,7 @@ def ranking_periods(frame: OpenFrame) -> dict[str, tuple[Column, str]]:
 
 def explode_sides(listings: DataFrame, roles=("list_office_key", "buyer_office_key")) -> DataFrame:
     """One row per listing and office on either side of the sale."""
-    return listings.withColumn(
-        "office_key", F.explode(F.array_compact(F.array(*map(F.col, roles))))
-    )
+    return C.explode_present(listings, "office_key", F.array(*map(F.col, roles)))
 
 
 def side_units(listings: DataFrame, frame: OpenFrame, places: Sequence[str]) -> DataFrame:
@@ -49,24 +47,19 @@ def side_units(listings: DataFrame, frame: OpenFrame, places: Sequence[str]) ->
     wanted = None
     for test, _ in periods.values():
         wanted = test if wanted is None else wanted | test
-    memberships = F.array_compact(
-        F.array(
-            *[
-                F.when(test, F.struct(F.lit(name).alias("period"), F.col(price).alias("price")))
-                for name, (test, price) in periods.items()
-            ]
-        )
+    memberships = F.array(
+        *[
+            F.when(test, F.struct(F.lit(name).alias("period"), F.col(price).alias("price")))
+            for name, (test, price) in periods.items()
+        ]
     )
-    sides = (
-        explode_sides(listings.where(wanted))
-        .withColumn("_in", F.explode(memberships))
-        .withColumns(
-            {
-                "GroupType": F.col("_in.period"),
-                "price": F.col("_in.price"),
-                "dom": C.days_on_market("list_date", "contract_date"),
-            }
-        )
+    inside = C.explode_present(listings.where(wanted), "_in", memberships)
+    sides = explode_sides(inside).withColumns(
+        {
+            "GroupType": F.col("_in.period"),
+            "price": F.col("_in.price"),
+            "dom": C.days_on_market("list_date", "contract_date"),
+        }
     )
     return sides.groupBy(*places, "office_key", "GroupType").agg(
         F.count("*").alias("units"),

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import statistics as S
 from ..operators.joins import dense_grid, fill_missing, having_geo, keep_listed, with_geo
@@ -67,17 +68,13 @@ def towns_communities(
         )
 
     town, kind, place = F.col("municipality"), F.col("municipality_type"), F.col("census_place")
-    levels = F.array_compact(
-        F.array(
-            F.when(listed_pair(town, kind, municipalities), level(1, town, kind)),
-            F.when(
-                (F.col("source_system_id") == place_source) & place.isin(*places),
-                level(3, place, F.lit(None)),
-            ),
-        )
+    listed = (F.col("source_system_id") == place_source) & place.isin(*places)
+    levels = F.array(
+        F.when(listed_pair(town, kind, municipalities), level(1, town, kind)),
+        F.when(listed, level(3, place, F.lit(None))),
     )
-    listed = t["listings_geo"].select(*LISTING_KEYS, F.explode(levels).alias("_l"))
-    located = homes.join(listed, list(LISTING_KEYS)).select(*homes.columns, "_l.*")
+    found = C.explode_present(t["listings_geo"], "_l", levels).select(*LISTING_KEYS, "_l")
+    located = homes.join(found, list(LISTING_KEYS)).select(*homes.columns, "_l.*")
     named = t["listings_custom_geo"].where(F.col("custom_geo").isin(*communities))
     shared = (
         having_geo(homes, t["listings_geo"])

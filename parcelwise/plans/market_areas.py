@@ -63,10 +63,16 @@ class AreaRules:
         return cls(K.AREA_LABELS_SUPPLY, supply_overlays())
 
     def areas(self, listings: DataFrame) -> DataFrame:
-        """Area listings with their market areas as the array column ``areas``."""
+        """Area listings with the array column ``areas``; listings in none are dropped."""
         code = F.col("area_code")
-        return listings.withColumn("area_code", C.area_code()).withColumn(
-            "areas", C.overlapping_areas(code, self.labels, self.overlays(code))
+        overlays = self.overlays(code)
+        somewhere = C.area_label(code, self.labels).isNotNull()
+        for _, test in overlays:
+            somewhere = somewhere | test
+        return (
+            listings.withColumn("area_code", C.area_code())
+            .where(somewhere)
+            .withColumn("areas", C.overlapping_areas(code, self.labels, overlays))
         )
 
 
@@ -79,8 +85,8 @@ def area_rows(listings: DataFrame, t: Tables, rules: AreaRules, label: str) -> D
         "areas",
     )
     homes = having_geo(listings.where(F.col("property_type") == "Residential"), t["listings_geo"])
-    joined = homes.join(places.where(F.size("areas") > 0), list(LISTING_KEYS))
-    return joined.withColumn(label, F.explode("areas")).drop("areas")
+    joined = homes.join(places, list(LISTING_KEYS))
+    return C.explode_present(joined, label, F.col("areas")).drop("areas")
 
 
 def market_area(
@@ -222,24 +228,15 @@ def supply_demand(
     rows = area_rows(listings, t, rules or AreaRules.supply(), "Area")
 
     top = len(breaks) + 1
-    entries = F.array_compact(
-        F.array(
-            F.when(
-                supply,
-                F.struct(
-                    C.price_band("list_price", breaks, top).alias("Sort"), F.lit(True).alias("supply")
-                ),
-            ),
-            F.when(
-                demand,
-                F.struct(
-                    C.price_band("close_price", breaks, top).alias("Sort"),
-                    F.lit(False).alias("supply"),
-                ),
-            ),
-        )
+
+    def entry(price: str, is_supply: bool) -> Column:
+        band = C.price_band(price, breaks, top)
+        return F.struct(band.alias("Sort"), F.lit(is_supply).alias("supply"))
+
+    entries = F.array(
+        F.when(supply, entry("list_price", True)), F.when(demand, entry("close_price", False))
     )
-    rows = rows.withColumn("_e", F.explode(entries)).withColumns(
+    rows = C.explode_present(rows, "_e", entries).withColumns(
         {"Sort": F.col("_e.Sort"), "supply": F.col("_e.supply")}
     )
     dom = F.when(~F.col("supply") & (F.year("close_date") == report_year), C.days_on_market())

@@ -87,6 +87,13 @@ def test_area_code(spark):
     assert values(spark, inputs, C.area_code("x")) == ["21", "21", "21", "21", "Unknown", "", None, ""]
 
 
+def test_area_label(spark):
+    label = C.area_label(C.area_code("x"), K.AREA_LABELS)
+    assert values(spark, ["61 - A", "62", "24 - none", None], label) == [
+        "Summerville (61-63)", "Summerville (61-63)", None, None,
+    ]
+
+
 def test_firm_prefix(spark):
     inputs = ["DERE01", "ABC", "123", "AB12C3", "A-1", "dere01", "", None]
     expected = ["DERE", "", "", "AB12C", "A", "dere", "", ""]

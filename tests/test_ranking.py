@@ -6,7 +6,9 @@ from parcelwise.functions import frames as FR
 from parcelwise.operators import joins as J
 from parcelwise.operators import ranking as R
 
-FRAME = FR.open_frame(date(2020, 8, 10))
+
+def frame():
+    return FR.open_frame(date(2020, 8, 10))
 LISTING = (
     "list_office_key long, buyer_office_key long, list_date date, contract_date date, close_date date, "
     "list_price decimal(18,2), close_price decimal(18,2), town string, county_or_parish string, zone string"
@@ -48,7 +50,7 @@ def closed_ranks(report):
 def test_top_five_when_own_office_is_above(spark):
     offices = [office(0, "DERE")] + [office(k) for k in range(1, 9)]
     units = {0: 10, **{k: 12 - 2 * (k - 3) if k > 3 else 20 - k for k in range(1, 9)}}
-    ranks = closed_ranks(P.broker_rank_towns(market(spark, units, offices, TOWN_TABS), FRAME))
+    ranks = closed_ranks(P.broker_rank_towns(market(spark, units, offices, TOWN_TABS), frame()))
     assert {r for r, _ in ranks} == {1, 2, 3, 4, 5}
     assert any(i == "DERE00" for _, i in ranks)
 
@@ -56,20 +58,20 @@ def test_top_five_when_own_office_is_above(spark):
 def test_extended_to_own_rank(spark):
     offices = [office(0, "DERE")] + [office(k) for k in range(1, 12)]
     units = {0: 4, **{k: 16 - k for k in range(1, 12)}}
-    ranks = closed_ranks(P.broker_rank_towns(market(spark, units, offices, TOWN_TABS), FRAME))
+    ranks = closed_ranks(P.broker_rank_towns(market(spark, units, offices, TOWN_TABS), frame()))
     assert ranks[-1] == (12, "DERE00") and len(ranks) == 12
 
 
 def test_nothing_without_own_office(spark):
     offices = [office(k) for k in range(1, 4)]
-    report = P.broker_rank_towns(market(spark, {1: 3, 2: 2, 3: 1}, offices, TOWN_TABS), FRAME)
+    report = P.broker_rank_towns(market(spark, {1: 3, 2: 2, 3: 1}, offices, TOWN_TABS), frame())
     assert report.count() == 0
 
 
 def test_ties_share_a_rank_and_all_stay(spark):
     offices = [office(0, "DERE")] + [office(k) for k in range(1, 9)]
     units = {0: 9, 1: 8, 2: 7, 3: 6, 4: 5, 5: 5, 6: 5, 7: 1, 8: 1}
-    ranks = closed_ranks(P.broker_rank_towns(market(spark, units, offices, TOWN_TABS), FRAME))
+    ranks = closed_ranks(P.broker_rank_towns(market(spark, units, offices, TOWN_TABS), frame()))
     assert [r for r, _ in ranks] == [1, 2, 3, 4, 5, 5, 5]
 
 
@@ -77,7 +79,7 @@ def test_two_own_offices_use_the_lower_one(spark):
     tabs = [("Avon", "Town", "DERE00/DERE11", "Avon")]
     offices = [office(0, "DERE"), office(11, "DERE")] + [office(k) for k in range(1, 10)]
     units = {0: 30, 11: 1, **{k: 20 - k for k in range(1, 10)}}
-    header_ids = closed_ranks(P.broker_rank_towns(market(spark, units, offices, tabs), FRAME))
+    header_ids = closed_ranks(P.broker_rank_towns(market(spark, units, offices, tabs), frame()))
     assert header_ids[-1] == (11, "DERE11") and len(header_ids) == 11
 
 
@@ -95,7 +97,7 @@ def test_firms_with_all_their_offices(spark):
     ]
     tabs = [("County A", "County", "County A DERE00", "Avon")]
     units = {0: 3, 1: 2, 2: 9, 3: 1, 4: 7}
-    rows = P.firm_rank_counties(market(spark, units, offices, tabs), FRAME).collect()
+    rows = P.firm_rank_counties(market(spark, units, offices, tabs), frame()).collect()
     closed = [r for r in rows if r.GroupType == "ytdClosed"]
     firms = {r.FirmPrefix: r for r in closed if r.FirmRank is not None}
     assert {p: r.FirmRank for p, r in firms.items()} == {"BIGG": 1, "DERE": 3, "SMAL": 4}
@@ -112,7 +114,7 @@ def test_zone_shares_by_town_or_zone(spark):
     tables["broker_listings"] = tables["broker_listings"].union(extra)
 
     def shares(**flags):
-        rows = P.firm_rank_zones(tables, FRAME, **flags).collect()
+        rows = P.firm_rank_zones(tables, frame(), **flags).collect()
         return {r.GroupType: r.PercUnits for r in rows if r.FirmPrefix == "DERE" and r.FirmRank}
 
     assert shares() == {"ytdClosed": 2 / 8, "ytdUC": 2 / 4}
