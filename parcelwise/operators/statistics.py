@@ -46,44 +46,32 @@ def sales_histogram(
     median. With ``dom_median`` days on market get rows of their own (``metric``), so that
     both medians come from one scan. ``extra`` holds further row values to add up.
     """
-    counted = F.lit(True) if counted is None else counted
-    base = F.lit(True)
+    sales = sales.withColumn("_counted", F.lit(True) if counted is None else counted)
+    if extra:
+        sales = sales.withColumns(dict(extra))
+    base = "true"
     if dom_median:
-        both = F.array(
-            F.struct(F.lit(PRICE).alias("metric"), F.col("price").alias("value")),
-            F.struct(F.lit(DOM).alias("metric"), F.col("dom").cast(VALUE_TYPE).alias("value")),
-        )
-        sales = sales.withColumn("_m", F.explode(both)).withColumns(
-            {"metric": F.col("_m.metric"), "value": F.col("_m.value")}
-        )
-        base = F.col("metric") == PRICE
-        counted = counted & base
+        both = f"array(named_struct('metric', '{PRICE}', 'value', price), "
+        both += f"named_struct('metric', '{DOM}', 'value', cast(dom as {VALUE_TYPE})))"
+        sales = sales.selectExpr("*", f"inline({both})")
+        base = f"metric = '{PRICE}'"
         keys = [*keys, "metric"]
     else:
         sales = sales.withColumn("value", F.col("price"))
 
-    def within(c: Column) -> Column:
-        return F.when(counted, c)
-
-    out = sales.groupBy(*keys, "value").agg(
-        F.count("*").alias("n"),
-        F.count_if(counted).alias("sales_count"),
-        F.coalesce(F.sum(within(F.col("ppf"))), F.lit(0.0)).alias("ppf_sum"),
-        F.count(within(F.col("ppf"))).alias("ppf_n"),
-        F.coalesce(F.sum(within(F.col("dom"))), F.lit(0)).alias("dom_sum"),
-        F.count(within(F.col("dom"))).alias("dom_n"),
-        *[
-            F.coalesce(F.sum(F.when(base, c)), F.lit(0)).alias(name)
-            for name, c in (extra or {}).items()
-        ],
-    )
-    priced = F.when(F.col("value").isNotNull(), F.col("sales_count")).otherwise(0)
-    return out.withColumns(
-        {
-            "priced": priced,
-            "volume": F.coalesce(F.col("value") * priced, F.lit(0).cast("decimal(38,2)")),
-        }
-    )
+    counts = f"_counted and {base}"
+    sums = {
+        "n": "count(*)",
+        "sales_count": f"count_if({counts})",
+        "priced": f"count_if({counts} and value is not null)",
+        "ppf_sum": f"coalesce(sum(if({counts}, ppf, null)), 0D)",
+        "ppf_n": f"count(if({counts}, ppf, null))",
+        "dom_sum": f"coalesce(sum(if({counts}, dom, null)), 0)",
+        "dom_n": f"count(if({counts}, dom, null))",
+        **{name: f"coalesce(sum(if({base}, {name}, null)), 0)" for name in extra or ()},
+    }
+    out = sales.groupBy(*keys, "value").agg(*[F.expr(f"{sql} as {name}") for name, sql in sums.items()])
+    return out.selectExpr("*", "coalesce(value * priced, 0) as volume")
 
 
 def exact_median(
@@ -142,26 +130,17 @@ def exact_median(
     )
 
 
-def sales_columns(named: Mapping[str, str] | None = None) -> list[Column]:
-    """Report columns from the sums of a sales histogram, under the given names."""
-    names = {
-        "price_per_foot": "price_per_foot",
-        "sales_volume": "sales_volume",
+def sales_columns(avg_dom: str = "avg_dom") -> list[Column]:
+    """Report columns from the sums of a sales histogram."""
+    columns = {
+        "price_per_foot": "ppf_sum / nullif(ppf_n, 0)",
+        "sales_volume": "if(priced > 0, volume, null)",
         "sales_count": "sales_count",
-        "avg_sale": "avg_sale",
-        "avg_dom": "avg_dom",
-        "median": "MedianPrice",
-        **(named or {}),
+        "avg_sale": "cast(volume as double) / nullif(priced, 0)",
+        avg_dom: "cast(dom_sum div nullif(dom_n, 0) as int)",
+        "MedianPrice": "median",
     }
-    none = F.lit(0)
-    return [
-        (F.col("ppf_sum") / F.nullif(F.col("ppf_n"), none)).alias(names["price_per_foot"]),
-        F.when(F.col("priced") > 0, F.col("volume")).alias(names["sales_volume"]),
-        F.col("sales_count").alias(names["sales_count"]),
-        (F.col("volume").cast("double") / F.nullif(F.col("priced"), none)).alias(names["avg_sale"]),
-        C.whole_average(F.col("dom_sum"), F.col("dom_n")).alias(names["avg_dom"]),
-        F.col("median").alias(names["median"]),
-    ]
+    return [F.expr(f"{sql} as {name}") for name, sql in columns.items()]
 
 
 def sales_stats(

@@ -14,7 +14,7 @@ from ..functions.frames import eval_frame, quarter_frame
 from ..operators import statistics as S
 from ..operators.joins import region_weights
 from ..sources.tables import LISTING_KEYS
-from .market_areas import band_columns, band_measures, year_rows
+from .market_areas import BAND_MEASURES, band_columns, band_sums, year_rows
 
 Tables = Mapping[str, DataFrame]
 
@@ -131,7 +131,7 @@ def side_by_side(hist: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFram
 
     ``sets`` names each grain and its columns. The grains are grouping sets over the
     histogram, a fraction of the listings. Grains without the county keep only the three
-    counties.
+    counties. Groups without a sale, a listing on the market or a sold listing are left out.
     """
     dims = [c for c in ("County", "PropertyType") if c in hist.columns]
     common = ["tri", "year", "value"]
@@ -156,7 +156,7 @@ def side_by_side(hist: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFram
     return stats.groupBy(*keys).agg(
         *[F.expr(f"max({c}) filter (where year = '{y}') as {y}_{c}") for y in YEARS for c in STATS],
         *[F.expr(f"nullif(sum({c}), 0) as {c}") for c in FLOWS],
-    )
+    ).where(" or ".join([*[f"{y}_sales_count > 0" for y in YEARS], *[f"{c} > 0" for c in FLOWS]]))
 
 
 def all_of(tests) -> Column:
@@ -324,12 +324,9 @@ def price_range_county(
     listings = t["listings"].where((F.col("property_type") == "Residential") & recent)
     rows = county_rows(listings, t, scope).where(scope.covered())
     rows = rows.withColumn("band", C.price_band("list_price", breaks, null_band=len(breaks) + 1))
-    measures = {tag: band_measures(*group, F.col("weight")) for tag, group in tests.items()}
-    wide = rows.groupBy(F.col("County").alias("county"), "band").agg(
-        *[c.alias(f"{tag}_{m}") for tag, group in measures.items() for m, c in group.items()]
-    )
+    wide = band_sums(rows.withColumnRenamed("County", "county"), ["county", "band"], tests)
     years = {tag: F.year(end) for tag, end in ends.items()}
-    found = year_rows(wide, years, list(measures["cy"])).where(
+    found = year_rows(wide, years, list(BAND_MEASURES)).where(
         "inventory > 0 and sold > 0 and quarter_n > 0"
     )
     return found.select("Yr", "county", *band_columns(breaks, months=12))

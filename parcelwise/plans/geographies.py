@@ -54,7 +54,7 @@ def towns_communities(
 ) -> DataFrame:
     """Sales by listed municipality, community and census place, and quarter.
 
-    Municipalities and census places of a listing come from one scan.
+    The places of a listing are gathered first, so that the listings are read once.
     """
     homes = S.closed_residential(t["listings"]).where(
         F.col("property_sub_type").isin(*K.PROPERTY_SUBTYPES)
@@ -73,16 +73,14 @@ def towns_communities(
         F.when(listed_pair(town, kind, municipalities), level(1, town, kind)),
         F.when(listed, level(3, place, F.lit(None))),
     )
-    found = C.explode_present(t["listings_geo"], "_l", levels).select(*LISTING_KEYS, "_l")
-    located = homes.join(found, list(LISTING_KEYS)).select(*homes.columns, "_l.*")
+    found = C.explode_present(t["listings_geo"], "_l", levels).select(*LISTING_KEYS, "_l.*")
     named = t["listings_custom_geo"].where(F.col("custom_geo").isin(*communities))
     shared = (
-        having_geo(homes, t["listings_geo"])
-        .join(named.select(*LISTING_KEYS, "custom_geo"), list(LISTING_KEYS))
-        .select(*homes.columns, level(2, F.col("custom_geo"), F.lit(None)).alias("_l"))
-        .select(*homes.columns, "_l.*")
+        having_geo(named, t["listings_geo"])
+        .select(*LISTING_KEYS, level(2, F.col("custom_geo"), F.lit(None)).alias("_l"))
+        .select(*LISTING_KEYS, "_l.*")
     )
-    rows = S.by_close_quarter(located.unionByName(shared))
+    rows = S.by_close_quarter(homes.join(found.unionByName(shared), list(LISTING_KEYS)))
     keys = ["level", "Municipality", "MunicipalityType", "Qtr", "Yr"]
     return S.sales_stats(rows, keys).drop("level")
 

@@ -126,28 +126,44 @@ def market_area(
         stats.withColumn("ActiveListings", F.nullif(active, F.lit(0)))
         .where("sales_count > 0")
         .select(
-            *keys, *S.sales_columns({"avg_dom": "_"}), "ActiveListings",
+            *keys, *S.sales_columns(avg_dom="_"), "ActiveListings",
             F.col("median_dom").alias("avg_DOM"),
         )
         .drop("_")
     )
 
 
-def band_measures(
-    inventory: Column, sold: Column, sales_in_quarter: Column, weight: Column | None = None
-) -> dict[str, Column]:
-    """Sums of one year for the reports by price band."""
-    weight = F.lit(1) if weight is None else weight
-    dom = C.days_on_market()
-    none = F.lit(0)
-    return {
-        "inventory": F.coalesce(F.sum(F.when(inventory, weight)), none),
-        "sold": F.coalesce(F.sum(F.when(sold, weight)), none),
-        "volume": F.sum(F.when(sold, F.col("close_price") * weight)),
-        "dom_sum": F.sum(F.when(sales_in_quarter, dom * weight)),
-        "dom_n": F.coalesce(F.sum(F.when(sales_in_quarter & dom.isNotNull(), weight)), none),
-        "quarter_n": F.coalesce(F.sum(F.when(sales_in_quarter, weight)), none),
+BAND_MEASURES = {
+    "inventory": "coalesce(sum(if({0}_on_market, weight, null)), 0)",
+    "sold": "coalesce(sum(if({0}_sold, weight, null)), 0)",
+    "volume": "sum(if({0}_sold, close_price * weight, null))",
+    "dom_sum": "sum(if({0}_in_quarter, dom * weight, null))",
+    "dom_n": "coalesce(sum(if({0}_in_quarter and dom is not null, weight, null)), 0)",
+    "quarter_n": "coalesce(sum(if({0}_in_quarter, weight, null)), 0)",
+}
+
+
+def band_sums(
+    rows: DataFrame, keys: Sequence[str], tests: Mapping[str, tuple[Column, Column, Column]]
+) -> DataFrame:
+    """Sums of the reports by price band, as columns ``<year>_<measure>``, in one pass.
+
+    ``tests`` gives, for each year, whether a row is on the market, sold in the report
+    window, and closed in the report quarter. A row stands for ``weight`` listings.
+    """
+    flags = {
+        f"{tag}_{name}": test
+        for tag, group in tests.items()
+        for name, test in zip(("on_market", "sold", "in_quarter"), group)
     }
+    rows = rows.withColumns({**flags, "dom": C.days_on_market()})
+    return rows.groupBy(*keys).agg(
+        *[
+            F.expr(f"{sql.format(tag)} as {tag}_{name}")
+            for tag in tests
+            for name, sql in BAND_MEASURES.items()
+        ]
+    )
 
 
 def year_rows(df: DataFrame, years: Mapping[str, Column], measures: Sequence[str]) -> DataFrame:
@@ -183,15 +199,15 @@ def price_range_area(
     }
     first = F.least(C.date_literal(py_eval_date), F.add_months(frame.py_end, -3))
     listings = t["listings"].where(C.open_or_closed_since(first))
-    rows = area_rows(listings, t, rules or AreaRules(), "area").withColumn(
-        "band", C.price_band("list_price", breaks, null_band=len(breaks) + 1)
-    )
-    measures = {tag: band_measures(*group) for tag, group in tests.items()}
-    wide = rows.groupBy("area", "band").agg(
-        *[c.alias(f"{tag}_{m}") for tag, group in measures.items() for m, c in group.items()]
+    rows = area_rows(listings, t, rules or AreaRules(), "area").withColumns(
+        {
+            "band": C.price_band("list_price", breaks, null_band=len(breaks) + 1),
+            "weight": F.lit(1),
+        }
     )
+    wide = band_sums(rows, ["area", "band"], tests)
     ends = {tag: F.year(end) for tag, (_, end) in years.items()}
-    return year_rows(wide, ends, list(measures["cy"])).where("inventory > 0").select(
+    return year_rows(wide, ends, list(BAND_MEASURES)).where("inventory > 0").select(
         "Yr", "area", *band_columns(breaks, months=3)
     )
 
