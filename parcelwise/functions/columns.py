@@ -33,7 +33,7 @@ def property_class(property_type="property_type", sub_type="property_sub_type")
 
 def area_code(area="area") -> Column:
     """Text before the first hyphen, or all of it, trimmed."""
-    return F.trim(F.substring_index(col(area), "-", 1))
+    return F.trim(F.substring_index(col(area), "-", 1)).cast("string")
 
 
 def area_label(code: Column, labels: Mapping[str, str]) -> Column:

@@ -19,14 +19,15 @@ def standardise(df: DataFrame, table: str, case_blind: bool = False) -> DataFram
     """Select a table's columns under library names.
 
     Trailing blanks are cut, so that equality ignores them. ``case_blind`` gives text
-    columns a case-insensitive collation, so that filters, joins and groups ignore case.
+    columns other than keys a case-insensitive collation, so that filters, joins and
+    groups ignore case.
     """
     columns = []
     for name, (source, kind) in TABLES[table].items():
         value = F.col(source).cast(kind)
         if isinstance(kind, T.StringType):
             value = F.rtrim(value)
-            if case_blind:
+            if case_blind and not name.endswith("_key"):
                 value = F.collate(value, CASE_BLIND)
         columns.append(value.alias(name))
     return df.select(*columns)
