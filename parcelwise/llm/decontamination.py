@@ -30,6 +30,7 @@ EDIT_SHARE = 0.1
 BLOCK = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
+PIECE = 1 << 20
 SPACE = re.compile(r"\s+")
 
 
@@ -111,12 +112,17 @@ def distance(a: str, b: str, edits: int) -> int:
 
 def hits(text: str, index: Index, q: int = Q) -> Iterator[tuple[int, int, int]]:
     """(passage, start in ``text``, edits) of the regions of a normal text that hold a passage."""
-    values = hashes(codes(text), q)
-    at = np.flatnonzero(index.bits[values >> np.uint64(64 - FILTER_BITS)])
+    positions_, values_ = [], []
+    for first in range(0, len(text), PIECE):
+        own = hashes(codes(text[first : first + PIECE + q - 1]), q)
+        near = np.flatnonzero(index.bits[own >> np.uint64(64 - FILTER_BITS)])
+        positions_.append(near + first)
+        values_.append(own[near])
+    at, values = (np.concatenate(x) if x else np.zeros(0, int) for x in (positions_, values_))
     if not len(at):
         return
-    left = np.searchsorted(index.grams, values[at], "left")
-    found = np.searchsorted(index.grams, values[at], "right") - left
+    left = np.searchsorted(index.grams, values, "left")
+    found = np.searchsorted(index.grams, values, "right") - left
     at, left, found = at[found > 0], left[found > 0], found[found > 0]
     if not len(at):
         return

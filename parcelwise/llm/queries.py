@@ -1,12 +1,64 @@
-"""The registered queries of this package and the SQL that DuckDB can hold them against."""
+"""The registered queries of this package and the SQL that DuckDB can hold them against.
+
+SQL is given for the URL filters and the mixing. The other operators fit a model, use a tokenizer or
+a hash that DuckDB lacks, or iterate; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelwise.llm import decontamination, mixing, perplexity, quality_nbsvm, simhash
+from parcelwise.llm import (
+    decontamination,
+    html_extraction,
+    mixing,
+    perplexity,
+    quality_nbsvm,
+    simhash,
+    token_histogram,
+    tool_calls,
+    toxicity,
+    url_filters,
+)
 from parcelwise.llm.common import table
 
+HEX = "0123456789abcdef"
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """Captures from ``pages``: the page is fetched on a day of 2024 that follows from its id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+
+
+def entries_of(pages: DataFrame) -> DataFrame:
+    """Dated list entries from the hosts and first path segments of ``pages``, by digits of an MD5."""
+    digit = lambda c, k: F.instr(F.lit(HEX), F.substr(F.md5(c), F.lit(k), F.lit(1))) - 1
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    entry = lambda name, pattern, action, decision, when: F.struct(
+        F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), F.lit(decision).alias("decision"), day(when).alias("day")
+    )
+    host = F.col("host")
+    parent = F.regexp_replace(host, r"^[^.]*\.", "")
+    hosts = pages.select(url_filters.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    by_host = F.array_compact(F.array(
+        F.when(digit(host, 1) < 8, entry("abuse", host, "add", "block", 11 * digit(host, 2))),
+        F.when((digit(host, 1) < 8) & (digit(host, 3) < 8), entry("abuse", host, "remove", "block", 11 * digit(host, 2) + 60)),
+        F.when((digit(host, 1) < 8) & (digit(host, 3) < 4), entry("abuse", host, "add", "block", 11 * digit(host, 2) + 120)),
+        F.when(digit(host, 4) < 3, entry("trusted", host, "add", "allow", 20 * digit(host, 5))),
+        F.when(digit(parent, 6) < 4, entry("abuse", parent, "add", "block", 200 + 5 * digit(parent, 7))),
+    ))
+    places = pages.select(F.element_at(url_filters.patterns(F.col("url")), -1).alias("host")).where("host like '%/%'").distinct()
+    by_place = F.array_compact(F.array(F.when(digit(host, 1) < 3, entry("spam", host, "add", "block", 20 * digit(host, 2)))))
+    listed = hosts.select(F.explode(by_host).alias("e")).unionByName(places.select(F.explode(by_place).alias("e")))
+    return listed.select("e.*").distinct()
+
+
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of ``pages`` as a capture, against dated entries derived from the same table."""
+    pages = table(spark, folder, "pages")
+    return url_filters.evaluated(captures_of(pages), entries_of(pages))
+
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_nbsvm.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -16,6 +68,18 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_histogram.histogram(table(spark, folder, "documents"))
+
+
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, folder, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
@@ -24,9 +88,105 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+SCHEMAS = {
+    "search": {"type": "object", "required": ["limit", "query"], "additionalProperties": False,
+               "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 0, "maximum": 40}}},
+    "count": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}},
+}
+
+
+def calls_of(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results from ``conversations``: an assistant turn calls, the user's next turn answers.
+
+    A call rests on the one before it, but for every fourth. Tools, arguments and their faults follow
+    from turn and text.
+    """
+    turn, text = F.col("turn"), F.col("text")
+    told = F.to_json(F.struct(F.substr(text, F.lit(1), F.lit(40)).alias("query"), (F.length(text) % 50).alias("limit")))
+    calls = talks.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("c"), turn).alias("call_id"), "turn",
+        F.element_at(F.array(F.lit("search"), F.lit("count"), F.lit("search"), F.lit("unknown")), (F.length(F.coalesce(text, F.lit(""))) % 4 + 1).cast("int")).alias("name"),
+        F.when(F.length(text) % 11 == 0, F.substr(told, F.lit(1), F.lit(20))).otherwise(told).alias("arguments"),
+        F.when((turn / 2).cast("long") % 4 != 0, F.concat(F.lit("c"), turn - 2)).alias("after"),
+    )
+    results = talks.where("role = 'user' and turn > 0").select(
+        "conv_id", F.concat(F.lit("c"), turn - 1).alias("call_id"), "turn", text.alias("content")
+    )
+    return calls, results
+
+
+def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and results derived from the whole of ``conversations``, linked."""
+    return tool_calls.linked(*calls_of(table(spark, folder, "conversations")), SCHEMAS)
+
+
 def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.judged(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_decontamination, op7_mixing, op8_simhash, op10_perplexity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_quality, op3_decontamination, op4_token_counts, op5_html, op6_toxicity, op7_mixing, op8_simhash,
+    op9_tool_calls, op10_perplexity,
+)}
+
+_HOST = url_filters.HOST
+_PATH = url_filters.PATH
+
+
+def _digit(text: str, k: int) -> str:
+    return f"(instr('{HEX}', substr(md5({text}), {k}, 1)) - 1)"
+
+
+def _entry(name: str, pattern: str, action: str, decision: str, day: str, source: str, where: str) -> str:
+    return (
+        f"select '{name}' as list, {pattern} as pattern, '{action}' as action, '{decision}' as decision, "
+        f"date '2024-01-01' + cast({day} as int) as day from {source} where {where}"
+    )
+
+
+_PARENT = r"regexp_replace(host, '^[^.]*\.', '')"
+OP1_SQL = rf"""
+with captures as (
+  select page_id, url, date '2024-01-01' + cast(page_id % 365 as int) as fetched,
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '{_HOST}', 1)), '\.$', '') as host,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '{_PATH}', 1), '/'), lambda s: s <> '') as segments
+  from pages
+), named as (
+  select *, case when host = '' then [] else list_distinct(list_concat(
+    list_transform(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(generate_series(1, len(segments)), lambda i: host || '/' || array_to_string(segments[1:i], '/')))) end as patterns
+  from captures
+), hosts as (select distinct host from captures where host <> ''),
+places as (select distinct host || '/' || array_to_string(segments, '/') as host from captures where host <> '' and len(segments) > 0),
+entries as (
+  {" union ".join((
+      _entry("abuse", "host", "add", "block", f"11 * {_digit('host', 2)}", "hosts", f"{_digit('host', 1)} < 8"),
+      _entry("abuse", "host", "remove", "block", f"11 * {_digit('host', 2)} + 60", "hosts", f"{_digit('host', 1)} < 8 and {_digit('host', 3)} < 8"),
+      _entry("abuse", "host", "add", "block", f"11 * {_digit('host', 2)} + 120", "hosts", f"{_digit('host', 1)} < 8 and {_digit('host', 3)} < 4"),
+      _entry("trusted", "host", "add", "allow", f"20 * {_digit('host', 5)}", "hosts", f"{_digit('host', 4)} < 3"),
+      _entry("abuse", _PARENT, "add", "block", f"200 + 5 * {_digit(_PARENT, 7)}", "hosts", f"{_digit(_PARENT, 6)} < 4"),
+      _entry("spam", "host", "add", "block", f"20 * {_digit('host', 2)}", "places", f"{_digit('host', 1)} < 3"),
+  ))}
+), days as (
+  select list, pattern, day, min(action) as action, min(case when action = 'add' then decision end) as decision from entries group by all
+), events as (
+  select *, row_number() over (partition by list, pattern order by day) as n from days
+), asked as (
+  select distinct page_id, url, fetched, unnest(patterns) as pattern from named
+), latest as (
+  select a.page_id, a.url, a.fetched, a.pattern, e.list, max(e.n) as n
+  from asked a join events e on a.pattern = e.pattern and e.day <= a.fetched group by all
+), active as (
+  select l.page_id, l.url, l.fetched, l.pattern, e.decision
+  from latest l join events e on l.pattern = e.pattern and l.list = e.list and l.n = e.n where e.action = 'add'
+), ranked as (
+  select *, count(*) over (partition by page_id, url, fetched) as n_active,
+    row_number() over (partition by page_id, url, fetched order by length(pattern) desc, pattern, decision) as k
+  from active
+)
+select c.page_id, c.url, c.fetched, c.host, coalesce(r.n_active, 0) as n_active, r.pattern, coalesce(r.decision, 'allow') as decision
+from captures c left join ranked r on r.k = 1 and c.page_id is not distinct from r.page_id and c.url is not distinct from r.url
+  and c.fetched is not distinct from r.fetched
+"""
+
+ORACLES = {"op1_url_filters": OP1_SQL}
