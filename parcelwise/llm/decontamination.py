@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from parcelwise.llm.common import arrow_map, batch_of, slices
 
-Q = 6
+Q = 10
 LENGTH = 60
-EDIT_SHARE = 0.1
+EDIT_SHARE = 0.05
 #: Characters of benchmark text that one scan holds; longer benchmarks are scanned in blocks.
 BLOCK = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
