@@ -1,7 +1,8 @@
 """N-gram perplexity rules: a modified Kneser-Ney model over all documents, and bands by language.
 
 The units are UTF-8 bytes, so one model serves every script and needs no vocabulary. Spark counts
-the 5-grams of all texts; each text starts with four zero bytes, so every shorter n-gram is a suffix
+the 5-grams of all texts that pass the base rules and are not strewn with symbols, so that what the
+rules refuse does not come to look usual; each text starts with four zero bytes, so every shorter n-gram is a suffix
 of a 5-gram, and the continuation counts of the lower orders come from distinct longer n-grams.
 Probabilities are interpolated by joins on suffix and context. The finished model is five pairs of
 sorted hash arrays (hash, log probability, back-off weight) with an index on the leading hash bits.
@@ -55,8 +56,27 @@ def pieces(values: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield packed
 
 
+def fails(n_words: int, n_repeat_words: int) -> bool:
+    """The base rules."""
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
+def sound(raw: bytes) -> bool:
+    """Whether a text teaches the model: it passes the base rules and has a symbol to ten words at most."""
+    n, _, symbols, _, repeated = base_counts(raw)
+    return not fails(n, repeated) and 10 * symbols <= n
+
+
+def chosen(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sound texts of a batch."""
+    data = values.tobytes()
+    take = np.array([sound(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], bool)
+    sizes = np.diff(offsets)
+    return values[np.repeat(take, sizes)], np.concatenate([[0], np.cumsum(sizes[take])]).astype(np.int64)
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(gram, n): how often each 5-gram of bytes occurs in all texts."""
+    """(gram, n): how often each 5-gram of bytes occurs in all sound texts."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +92,7 @@ def counted(docs: DataFrame) -> DataFrame:
             return batch_of(schema, gram=keys.view(np.int64), n=n)
 
         for batch in slices(batches, 0):
-            for packed in pieces(*byte_view(batch.column(0))):
+            for packed in pieces(*chosen(*byte_view(batch.column(0)))):
                 keys, n = np.unique(packed, return_counts=True)
                 held.append((keys, n))
                 size += len(keys)
