@@ -8,8 +8,8 @@ Probabilities are interpolated by joins on suffix and context. The finished mode
 sorted hash arrays (hash, log probability, back-off weight) with an index on the leading hash bits.
 
 Size: an order keeps the n-grams with a count of at least total / ``slots``, so it has at most
-``slots`` entries whatever the corpus; what is left out is reached by back-off, whose weights take
-account of it. With the default that is at most 2 ** 22 * 16 bytes an order.
+``slots`` n-grams and as many contexts whatever the corpus; what is left out is reached by back-off,
+whose weights take account of it. With the default that is at most 2 ** 23 * 16 bytes an order.
 """
 
 from __future__ import annotations
@@ -129,6 +129,7 @@ class Arrays:
     logp: np.ndarray
     backoff: np.ndarray
     index: np.ndarray
+    unseen: float = -float(np.log(256))  # of a byte that order 1 lacks
 
     @staticmethod
     def of(grams_: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> Arrays:
@@ -178,12 +179,13 @@ def model(docs: DataFrame, slots: int = SLOTS) -> list[Arrays]:
         weighed = counts.withColumn("context", context).withColumn("mass", n - cut)
         contexts = weighed.groupBy("context").agg(
             F.sum("n").alias("all"), F.sum(F.when(n >= least, F.col("mass")).otherwise(0.0)).alias("kept")
-        ).select("context", "all", (1 - F.col("kept") / F.col("all")).alias("gamma"))
+        ).where("kept > 0").select("context", "all", (1 - F.col("kept") / F.col("all")).alias("gamma"))
         contexts = stored(contexts)
         kept = weighed.where(n >= least).join(contexts, "context").select(
             "gram", (F.col("mass") / F.col("all")).alias("alpha"), "gamma"
         )
         if lower is None:
+            root = contexts.first()
             probability = kept.select("gram", (F.col("alpha") + F.col("gamma") / 256).alias("p"))
         else:
             below = lower.select(F.col("gram").alias("end"), F.col("p").alias("q"))
@@ -193,17 +195,19 @@ def model(docs: DataFrame, slots: int = SLOTS) -> list[Arrays]:
             )
         lower = stored(probability)
         if k > 1:
-            # the back-off weight of a context is stored with the n-gram one shorter
+            # the back-off weight of a context is stored with the n-gram one shorter, if there is one
             weights = contexts.select(F.col("context").alias("gram"), "gamma")
-            arrays.append(collected(previous.join(weights, "gram", "left")))
+            arrays.append(collected(previous.join(weights, "gram", "full")))
         previous = lower
     arrays.append(collected(previous.withColumn("gamma", F.lit(1.0))))
+    if root:
+        arrays[0].unseen += float(np.log(max(root["gamma"], 1e-9)))
     return arrays
 
 
 def collected(entries: DataFrame) -> Arrays:
-    """At most ``slots`` entries, by the cut-off on counts."""
-    rows = entries.select("gram", F.log("p").alias("p"), F.log(F.coalesce(F.greatest("gamma", F.lit(1e-9)), F.lit(1.0))).alias("g")).toArrow()
+    """At most ``slots`` n-grams by the cut-off on counts, and as many contexts; NaN for what an entry lacks."""
+    rows = entries.select("gram", F.coalesce(F.log("p"), F.lit(float("nan"))).alias("p"), F.log(F.coalesce(F.greatest("gamma", F.lit(1e-9)), F.lit(1.0))).alias("g")).toArrow()
     return Arrays.of(*(rows.column(i).to_numpy() for i in range(3)))
 
 
@@ -214,7 +218,7 @@ def log_probabilities(arrays: list[Arrays], packed: np.ndarray) -> np.ndarray:
     for k in range(ORDER, 0, -1):
         here = packed[rest] & np.uint64((1 << (8 * k)) - 1)
         at = arrays[k - 1].find(here)
-        known = at >= 0
+        known = (at >= 0) & ~np.isnan(arrays[k - 1].logp[at]) if len(arrays[k - 1].logp) else at >= 0
         result[rest[known]] += arrays[k - 1].logp[at[known]]
         rest, here = rest[~known], here[~known]
         if not len(rest):
@@ -224,7 +228,7 @@ def log_probabilities(arrays: list[Arrays], packed: np.ndarray) -> np.ndarray:
             seen = context >= 0
             result[rest[seen]] += arrays[k - 2].backoff[context[seen]]
         else:
-            result[rest] += -np.log(256)
+            result[rest] += arrays[0].unseen
     return result
 
 
