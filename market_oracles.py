@@ -93,7 +93,8 @@ def days(a: str, b: str) -> str:
 
 
 def median(x: str, by: str) -> str:
-    return f"median(cast({x} as double)) over (partition by {by})"
+    """Exact for whole numbers and cents: twice the median is a whole number of cents."""
+    return f"round(median(cast({x} as double)) over (partition by {by}) * 200) / 200"
 
 
 PPF = "avg(case when building_area > 0 then cast(close_price as double) / building_area end)"
@@ -105,7 +106,7 @@ CODE = "trim(case when instr(area, '-') = 0 then area else substr(area, 1, instr
 COUNTY = "trim(regexp_replace(county_name, 'County', ''))"
 GEO = "join listings_geo g on l.listing_key = g.listing_key and l.source_system_id = g.source_system_id"
 NAMES = "join county_names cn on g.county_fp = cn.county_fp and g.state_fp = cn.state_num"
-SALES_SPEC = "Qtr:i Yr:i price_per_foot:r sales_volume:d sales_count:i avg_sale:d avg_dom:i MedianPrice:r"
+SALES_SPEC = "Qtr:i Yr:i price_per_foot:r sales_volume:d sales_count:i avg_sale:d avg_dom:i MedianPrice:d"
 
 
 def label_case(labels) -> str:
@@ -199,6 +200,7 @@ from custom_tabs t1"""
 PREFIX = """case when not regexp_matches(office_mls_id, '[A-Za-z]$')
   and regexp_matches(office_mls_id, '[A-Za-z]')
   then regexp_replace(office_mls_id, '[^A-Za-z]+$', '') else '' end"""
+MIXED_ID = "(case when office_key % 2 = 0 then lower(office_mls_id) else office_mls_id end)"
 FIRMS = f"""select FirmPrefix, Firm from (
   select *, row_number() over (partition by FirmPrefix order by Firm nulls first) as ranked from (
     select distinct {PREFIX} as FirmPrefix,
@@ -241,6 +243,15 @@ where property_sub_type in ({quoted(K.PROPERTY_SUBTYPES)})""",
         "municipality:s region:s property_type:s n:i",
     ),
     "dedupe_keep_first": typed(FIRMS, "FirmPrefix:s Firm:s"),
+    "firm_ids_ignore_case": typed(
+        f"""select upper(FirmPrefix) as FirmPrefix, Firm from (
+  select *, row_number() over (partition by lower(FirmPrefix) order by Firm nulls first) as ranked from (
+    select distinct {PREFIX.replace('office_mls_id', MIXED_ID)} as FirmPrefix,
+      case when company is null then office_name else company end as Firm
+    from broker_offices where {PREFIX.replace('office_mls_id', MIXED_ID)} <> '') d
+) r where ranked = 1""",
+        "FirmPrefix:s Firm:s",
+    ),
     "project_star": typed(
         f"select l.*, {days('list_date', 'close_date')} as dom from listings l",
         "listing_key:i source_system_id:i standard_status:s property_type:s property_sub_type:s "
@@ -478,7 +489,7 @@ from ({CLOSED_TOWN}) c group by municipality""",
     "median_price": typed(
         f"""select distinct municipality, year(close_date) as Yr,
 {median('close_price', 'municipality, year(close_date)')} as median_price from ({CLOSED_TOWN}) c""",
-        "municipality:s Yr:i median_price:r",
+        "municipality:s Yr:i median_price:d",
     ),
     "median_dom": typed(
         f"""select distinct municipality,
@@ -520,9 +531,9 @@ from ({UNITS}) u join (select zone, count(*) as units from ({SIDES}) s
     "yoy_change": typed(
         f"""with counts as (select municipality, quarter(close_date) as Qtr, year(close_date) as Yr,
   count(*) as n from ({CLOSED_TOWN}) c group by 1, 2, 3)
-select municipality, Qtr, Yr, n, (cast(n as double) - before) / before as change from (
-  select *, cast(lag(n) over (partition by municipality, Qtr order by Yr) as double) as before
-  from counts) x""",
+select c.municipality, c.Qtr, c.Yr, c.n, cast(c.n - p.n as double) / p.n as change
+from counts c left join counts p
+  on c.municipality = p.municipality and c.Qtr = p.Qtr and p.Yr = c.Yr - 1""",
         "municipality:s Qtr:i Yr:i n:i change:d",
     ),
     "order_multi": typed(UNITS + " order by zone, units desc, office_key", "zone:s office_key:i units:i"),
@@ -768,7 +779,12 @@ NO_FOURTH = f"County not in ('{Q.FOURTH}')"
 LISTED = "PropertyType in ('Single Family Residential', 'Condominium')"
 
 
-def county_ctes(sold_class: str, with_class: bool) -> list[str]:
+COVERED = f"""(County <> '{Q.FOURTH}' and source_system_id in (1, 4, 8)
+  and County in (select county from county_by_region where region <> 'Milwaukee')
+  or County = '{Q.FOURTH}' and source_system_id = 10)"""
+
+
+def county_ctes(sold_class: str, with_class: bool, strict: bool = True) -> list[str]:
     """One aggregate per grain, year and metric."""
     grains = {"county": ("County", "true"), "tri": ("'WI'", NO_FOURTH)}
     if with_class:
@@ -779,7 +795,8 @@ def county_ctes(sold_class: str, with_class: bool) -> list[str]:
         f"l.standard_status, l.list_date, l.close_date, l.status_date, l.close_price, {CLASS} as PropertyType",
         "'Residential', 'Land'", Q.TRI, Q.FOURTH,
     )
-    ctes = [f"work_lci as ({work})", f"county_sales as ({COUNTY_SALES})"]
+    county_sales = COUNTY_SALES if strict else f"select * from ({COUNTY_SALES}) every_source where {COVERED}"
+    ctes = [f"work_lci as ({work})", f"county_sales as ({county_sales})"]
     for y, (in_quarter, d, before) in YEAR_PARTS.items():
         for name, (keys, test) in grains.items():
             group = f"group by {keys}" if name != "tri" else ""
@@ -807,7 +824,7 @@ def county_ctes(sold_class: str, with_class: bool) -> list[str]:
     return ctes
 
 
-def county_class() -> str:
+def county_class(strict: bool = True) -> str:
     names = [f"{y}_{m}_{g}" for y in YEAR_PARTS for m in ("inv", "sold", "med", "ppf")
              for g in ("cell", "county", "class", "tri")]
     on = {
@@ -837,12 +854,12 @@ def county_class() -> str:
     for y in YEAR_PARTS:
         for grain, name in (("cell", ""), ("class", "TriCounty_"), ("county", "AllUnitTypes_"),
                             ("tri", "TriCountyAllUnitTypes_")):
-            sold_year = "py" if grain == "class" else y
+            sold_year = "py" if grain == "class" and strict else y
             columns.append(
                 f"{supply(f'{y}_inv_{grain}.n', f'{sold_year}_sold_{grain}.n')} "
                 f"as {y}_{name}months_inventory"
             )
-    return f"""with {', '.join(county_ctes('true', True))}
+    return f"""with {', '.join(county_ctes('true', True, strict))}
 select rpt.PropertyType, rpt.County, {', '.join(columns)}
 from (select 'WI' as CensusState, PropertyType, County from cy_main
   union select 'WI' as CensusState, PropertyType, County from py_main) rpt
@@ -850,9 +867,9 @@ from (select 'WI' as CensusState, PropertyType, County from cy_main
 where rpt.PropertyType <> 'Other'"""
 
 
-def county_all() -> str:
+def county_all(strict: bool = True) -> str:
     on = {"county": "rpt.County = {0}.County", "tri": "rpt.CensusState = {0}.CensusState"}
-    names = [f"{y}_{m}_{g}" for y in YEAR_PARTS for m in ("inv", "sold", "med") for g in on]
+    names = [f"{y}_{m}_{g}" for y in YEAR_PARTS for m in ("inv", "sold", "med", "ppf") for g in on]
     joins = [f"left join {n} on {on[n.rsplit('_', 1)[1]].format(n)}" for n in names]
     columns = []
     for y, word in (("cy", "Current"), ("py", "Previous")):
@@ -864,7 +881,7 @@ def county_all() -> str:
         columns += [
             f"{y}_main.sales_count as {word}YearSalesCount",
             f"{y}_main.price_per_foot as {word}PricePerFoot",
-            f"{y}_own.v as {word}TriCountyPricePerFoot",
+            f"{f'{y}_own' if strict else f'{y}_ppf_tri'}.v as {word}TriCountyPricePerFoot",
             f"{y}_main.sales_volume as {word}SalesVolume",
             f"{y}_main.avg_sale as {word}AvgSale",
             f"{y}_main.avg_dom as {word}AvgDOM",
@@ -874,9 +891,9 @@ def county_all() -> str:
     for y in YEAR_PARTS:
         columns += [
             f"{supply(f'{y}_inv_county.n', f'{y}_sold_county.n')} as {y}_months_inventory",
-            f"{supply(f'{y}_inv_tri.n', 'py_sold_tri.n')} as {y}_TriCounty_months_inventory",
+            f"{supply(f'{y}_inv_tri.n', f'{'py' if strict else y}_sold_tri.n')} as {y}_TriCounty_months_inventory",
         ]
-    return f"""with {', '.join(county_ctes("PropertyType <> 'Other'", False))}
+    return f"""with {', '.join(county_ctes("PropertyType <> 'Other'", False, strict))}
 select rpt.County, {', '.join(columns)}
 from (select 'WI' as CensusState, County from cy_main
   union select 'WI' as CensusState, County from py_main) rpt
@@ -967,7 +984,8 @@ union all
 select census_place, null, {metrics} from ({sales('census_place', place)}) c"""
 
 
-def share(with_band: bool) -> str:
+def share(with_band: bool, strict: bool = True) -> str:
+    own = "" if strict else " and lcv.source_system_id = {0}.source_system_id"
     rows = "\nunion all\n".join(
         f"""select {COUNTY} as County, case
   when oc.office_name like 'Supplier#00000000%' then 'First Ten'
@@ -975,9 +993,9 @@ def share(with_band: bool) -> str:
   when oc.office_name like '%#0000000_2%' then 'Twenties' else 'Other' end as Company,
   lcv.close_date, lcv.sides, lcv.volume_credit,
   {band('lcv.list_price', K.BREAKS_5, 5)} as listpricebucket
-from listing_sides lcv join listings lc on lcv.listing_key = lc.listing_key
+from listing_sides lcv join listings lc on lcv.listing_key = lc.listing_key{own.format('lc')}
 join offices oc on lcv.office_key = oc.office_key
-join listings_geo g on lcv.listing_key = g.listing_key {NAMES}
+join listings_geo g on lcv.listing_key = g.listing_key{own.format('g')} {NAMES}
 where lcv.source_system_id = {source} and lcv.close_date is not null
   and year(lcv.close_date) > 1996 and {COUNTY} in ({quoted(counties)})
   and lcv.property_type = 'Residential'"""
@@ -1103,23 +1121,25 @@ def firm_counties(own: str) -> str:
     )
 
 
-def firm_zones() -> str:
+def firm_zones(strict: bool = True) -> str:
     return firm_ranking(
         "select distinct tab_name, substr(tab_name, instr(tab_name, ' ') + 1) as zone "
         "from custom_tabs where tab_type = 'Zone'",
-        "{0}.zone = ct.zone", Q.OWN_PREFIX, ("ytdUC", "pytdClosed", "pytdUC"),
+        "{0}.zone = ct.zone", Q.OWN_PREFIX, ("ytdUC", "pytdClosed", "pytdUC") if strict else (),
     )
 
 
 def area_yoy() -> str:
     def change(column: str) -> str:
-        whole = f"coalesce(round_even(round(cast({column} as double), 4), 0), 0)"
-        before = f"lag({whole}) over (partition by Area, Qtr order by Yr)"
-        return f"({whole} - {before}) / nullif({before}, 0) as {column}_change"
+        whole = "coalesce(round_even(cast({0}.{1} as double), 0), 0)"
+        now, before = whole.format("r", column), whole.format("p", column)
+        return f"case when p.Area is not null then ({now} - {before}) / nullif({before}, 0) end as {column}_change"
 
     columns = ["sales_count", "avg_DOM", "MedianPrice", "ActiveListings"]
-    return f"""select Area, Qtr, Yr, {', '.join(columns)}, {', '.join(map(change, columns))}
-from ({market_area()}) r where Yr >= 2000 - 1 and Qtr = 2"""
+    return f"""with report as ({market_area()})
+select r.Area, r.Qtr, r.Yr, {', '.join(f'r.{c}' for c in columns)}, {', '.join(map(change, columns))}
+from report r left join report p on r.Area = p.Area and r.Qtr = p.Qtr and p.Yr = r.Yr - 1 and p.Yr >= 2000 - 1
+where r.Yr >= 2000 - 1 and r.Yr <= 2000 and r.Qtr = 2"""
 
 
 def price_point_yoy() -> str:
@@ -1151,13 +1171,13 @@ def _county_spec(extra: bool) -> str:
     for word in ("Current", "Previous"):
         spec += [
             f"{word}YearSalesCount:i", f"{word}PricePerFoot:r", f"{word}TriCountyPricePerFoot:r",
-            f"{word}SalesVolume:d", f"{word}AvgSale:d", f"{word}AvgDOM:i", f"{word}MedianPrice:r",
-            f"{word}TriCountyMedian:r",
+            f"{word}SalesVolume:d", f"{word}AvgSale:d", f"{word}AvgDOM:i", f"{word}MedianPrice:d",
+            f"{word}TriCountyMedian:d",
         ]
         if extra:
             spec += [
                 f"{word}AllUnitTypesPricePerFoot:r", f"{word}TriCountyPricePerFootAllUnitTypes:r",
-                f"{word}AllUnitTypesMedian:r", f"{word}MedianTriCountyAllUnitTypes:r",
+                f"{word}AllUnitTypesMedian:d", f"{word}MedianTriCountyAllUnitTypes:d",
             ]
     kinds_ = ["", "TriCounty_"] + (["AllUnitTypes_", "TriCountyAllUnitTypes_"] if extra else [])
     spec += [f"{y}_{k}months_inventory:d" for y in ("cy", "py") for k in kinds_]
@@ -1171,8 +1191,8 @@ OPERATORS |= {
     ),
     "grouping_sets_stats": typed(
         grouping_sets(),
-        "grain:s County:s PropertyType:s cy_sales_count:i cy_price_per_foot:r cy_MedianPrice:r "
-        "py_sales_count:i py_MedianPrice:r inv_cy:i sold_cy:i",
+        "grain:s County:s PropertyType:s cy_sales_count:i cy_price_per_foot:r cy_MedianPrice:d "
+        "py_sales_count:i py_MedianPrice:d inv_cy:i sold_cy:i",
     ),
     "firm_office_rank": typed(firm_counties("bre"), _FIRM_SPEC),
 }
@@ -1180,7 +1200,7 @@ OPERATORS |= {
 REPORTS = {
     "rpt_market_area": typed(
         market_area(),
-        "Area:s Qtr:i Yr:i price_per_foot:r sales_volume:d sales_count:i avg_sale:d MedianPrice:r "
+        "Area:s Qtr:i Yr:i price_per_foot:r sales_volume:d sales_count:i avg_sale:d MedianPrice:d "
         "ActiveListings:i avg_DOM:d",
     ),
     "rpt_price_range_area": typed(price_range_area(), f"Yr:i area:s listpricebucket:s {_BAND_SPEC}"),
@@ -1223,9 +1243,22 @@ where property_sub_type in ({quoted(Q.SUBTYPES.split(','))})""",
     "rpt_county_level": typed(
         sales("PropertyType, County", COUNTY_SALES), "PropertyType:s County:s " + SALES_SPEC
     ),
+    "rpt_county_class_corrected": typed(county_class(False), "PropertyType:s County:s " + _county_spec(True)),
+    "rpt_county_all_corrected": typed(county_all(False), "County:s " + _county_spec(False)),
+    "rpt_share_company_corrected": typed(
+        share(False, False),
+        "County:s Company:s date_qtr:i date_year:i SidesCount:d VolumeTotal:d SidesMarketShare:r "
+        "VolumeMarketShare:r",
+    ),
+    "rpt_firm_zones_corrected": typed(firm_zones(False), _FIRM_SPEC),
+    "rpt_county_level_quarters": typed(
+        f"""select * from ({sales("PropertyType, County", COUNTY_SALES)}) r
+where (Yr = 1999 or Yr = 2000) and Qtr = 2""",
+        "PropertyType:s County:s " + SALES_SPEC,
+    ),
     "view_area_yoy": typed(
         area_yoy(),
-        "Area:s Qtr:i Yr:i sales_count:i avg_DOM:d MedianPrice:r ActiveListings:i "
+        "Area:s Qtr:i Yr:i sales_count:i avg_DOM:d MedianPrice:d ActiveListings:i "
         "sales_count_change:d avg_DOM_change:d MedianPrice_change:d ActiveListings_change:d",
     ),
     "view_price_point_yoy": typed(

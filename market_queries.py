@@ -40,6 +40,7 @@ SHARE_FIRST_YEAR = 1997
 SCOPE = P.CountyScope(counties=TRI, state=None, fourth=FOURTH)
 SCOPE_BANDS = P.CountyScope(counties=("NATION_1", "NATION_5", "NATION_10"), state=None, fourth=FOURTH)
 SHARE_SCOPE = P.CountyScope(counties=TRI, sources=(1,), fourth=FOURTH)
+QUARTERS = ((1999, 2), (2000, 2))
 AREA_RULES = P.AreaRules(K.AREA_LABELS, PA.quarterly_overlays(TRI))
 SUPPLY_RULES = P.AreaRules.supply()
 
@@ -372,6 +373,11 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     .distinct(),
     "append_union": append_union,
     "dedupe_keep_first": lambda t: R.firm_directory(t["broker_offices"]),
+    "firm_ids_ignore_case": lambda t: R.firm_directory(
+        t["broker_offices"].withColumn(
+            "office_mls_id", F.when(F.col("office_key") % 2 == 0, F.lower("office_mls_id")).otherwise(F.col("office_mls_id"))
+        )
+    ),
     "project_star": lambda t: t["listings"].select("*", C.days_on_market().alias("dom")),
     "property_class": lambda t: t["listings"].select(
         "listing_key", C.property_class().alias("property_class")
@@ -510,8 +516,17 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "rpt_firm_zones": lambda t: P.firm_rank_zones(t, ranking_frame(), OWN_PREFIX),
     "rpt_municipality": lambda t: P.municipality_level(t, SUBTYPES),
     "rpt_county_level": lambda t: P.county_level(t, SCOPE),
+    "rpt_county_class_corrected": lambda t: P.county_class(t, EVAL, SCOPE, strict_parity=False),
+    "rpt_county_all_corrected": lambda t: P.county_all(t, EVAL, SCOPE, strict_parity=False),
+    "rpt_share_company_corrected": lambda t: P.share_by_company(
+        t, SHARE_SCOPE, RULES, SHARE_FIRST_YEAR, strict_parity=False
+    ),
+    "rpt_firm_zones_corrected": lambda t: P.firm_rank_zones(
+        t, ranking_frame(), OWN_PREFIX, strict_parity=False
+    ),
+    "rpt_county_level_quarters": lambda t: P.county_level(t, SCOPE, QUARTERS),
     "view_area_yoy": lambda t: P.area_yoy(
-        P.market_area(t, EVAL, PY_EVAL, AS_OF, AREA_RULES), 2000, 2
+        P.market_area(t, EVAL, PY_EVAL, AS_OF, AREA_RULES, QUARTERS), 2000, 2
     ),
     "view_price_point_yoy": lambda t: P.price_point_yoy(
         P.price_range_area(t, EVAL, PY_EVAL, AS_OF, K.BREAKS_4, AREA_RULES),
@@ -527,9 +542,9 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 def comparable(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint and other numbers as double, for comparison across engines.
 
-    32-bit ratios and figures summed in floating point are rounded to four places.
+    32-bit ratios and figures summed in floating point are rounded to four places; medians are not.
     """
-    inexact = re.compile("(price_?per_?foot|median(_?price)?)(?!.*_change$|_dom)", re.IGNORECASE)
+    inexact = re.compile("price_?per_?foot(?!.*_change$)", re.IGNORECASE)
     columns = []
     for field in df.schema.fields:
         value, kind = F.col(field.name), field.dataType

@@ -201,15 +201,38 @@ def on_market_at(
 
 
 def open_or_closed_since(
-    first: Column, status="standard_status", close_date="close_date"
+    first: Column, status="standard_status", close_date="close_date", status_date="status_date"
 ) -> Column:
     """Rows that can be on the market, or be sold, on or after a date.
 
     A superset of every inventory and sales test from ``first`` on, made of comparisons a
-    Parquet scan can push down, so that older sales never reach a shuffle.
+    Parquet scan can push down, so that older sales and listings taken off the market
+    before never reach a shuffle. A listing off the market, or closed without a date,
+    counts only up to its last change of status.
     """
-    closed = col(close_date)
-    return closed.isNull() | (closed >= first) | col(status).isin(*K.STATUS_ON_MARKET)
+    return (
+        col(status).isin(*K.STATUS_ON_MARKET) | (col(close_date) >= first) | (col(status_date) >= first)
+    )
+
+
+def any_of(tests: Iterable[Column]) -> Column:
+    out = F.lit(False)
+    for test in tests:
+        out = out | test
+    return out
+
+
+def in_quarters(date: str | Column, quarters: Iterable[tuple[int, int]] | None) -> Column:
+    """In one of the (year, quarter) pairs, as date ranges that reach the scan; ``None``: any date."""
+    if quarters is None:
+        return col(date).isNotNull()
+
+    def first_day(year: int, quarter: int) -> Column:
+        return F.lit(f"{year}-{3 * quarter - 2:02d}-01").cast("date")
+
+    return any_of(
+        (col(date) >= first_day(y, q)) & (col(date) < F.add_months(first_day(y, q), 3)) for y, q in quarters
+    )
 
 
 def in_trailing(date: str | Column, end: Column, months: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import LISTING_KEYS
@@ -39,9 +39,9 @@ def dense_grid(members: DataFrame, observed: DataFrame, member: str, periods: Se
     """Every member with every observed period.
 
     The distinct periods are one small array (there are four quarters in a year), which
-    each member explodes; no join of the two sides takes place.
+    each member explodes; no join of the two sides takes place. Periods must be few.
     """
-    slots = observed.select(F.collect_set(F.struct(*periods)).alias("slots"))
+    slots = observed.select(*periods).distinct().select(F.collect_list(F.struct(*periods)).alias("slots"))
     return (
         members.select(member)
         .distinct()
@@ -50,15 +50,36 @@ def dense_grid(members: DataFrame, observed: DataFrame, member: str, periods: Se
     )
 
 
-def fill_missing(grid: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Facts on every grid cell; a cell without facts gets zeros."""
-    keys = list(keys)
-    values = [c for c in facts.columns if c not in keys]
-    joined = grid.join(facts.withColumn("_seen", F.lit(True)), keys, "left")
-    return joined.select(
-        *keys,
+def fill_grid(members: DataFrame, facts: DataFrame, member: str, periods: Sequence[str]) -> DataFrame:
+    """Facts for every member and every period that some fact has; a cell without facts gets zeros.
+
+    Facts are gathered by member, one small array each, and the periods are those of all
+    members' arrays. ``facts`` is computed once: there is no second pass for the periods
+    and no join back. Members must be a dimension: one row each meets in the last step.
+    """
+    periods = list(periods)
+    values = [c for c in facts.columns if c not in (member, *periods)]
+    cells = facts.select(member, F.struct(*periods, *values).alias("_cell"))
+    kind = cells.schema["_cell"].dataType
+    rows = cells.unionByName(members.select(member, F.lit(None).cast(kind).alias("_cell")))
+    gathered = rows.groupBy(member).agg(F.collect_list("_cell").alias("_cells"))
+    own = F.transform("_cells", lambda c: F.struct(*[c[p].alias(p) for p in periods]))
+    slots = F.array_distinct(F.flatten(F.collect_list(own).over(Window.partitionBy())))
+    spread = gathered.withColumn("_slots", slots).withColumn("_slot", F.explode("_slots"))
+
+    def same(cell: Column) -> Column:
+        test = F.lit(True)
+        for p in periods:
+            test = test & cell[p].eqNullSafe(F.col("_slot")[p])
+        return test
+
+    found = spread.withColumn("_cell", F.get(F.filter("_cells", same), F.lit(0)))
+    seen = F.col("_cell").isNotNull()
+    return found.select(
+        member,
+        *[F.col("_slot")[p].alias(p) for p in periods],
         *[
-            F.when(F.col("_seen"), F.col(c)).otherwise(F.lit(0).cast(facts.schema[c].dataType)).alias(c)
+            F.when(seen, F.col("_cell")[c]).otherwise(F.lit(0).cast(facts.schema[c].dataType)).alias(c)
             for c in values
         ],
     )

@@ -93,9 +93,14 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.distinct().withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+def firm_key() -> Column:
+    """The prefix of an office id in capitals, so that ids that differ in case are of one firm."""
+    return F.upper(C.firm_prefix())
+
+
 def firm_directory(offices: DataFrame) -> DataFrame:
     """One firm name per office id prefix; ids without a prefix have none."""
-    firms = offices.select(C.firm_prefix().alias("FirmPrefix"), C.firm_name().alias("Firm"))
+    firms = offices.select(firm_key().alias("FirmPrefix"), C.firm_name().alias("Firm"))
     return keep_first(firms.where("FirmPrefix != ''"), "FirmPrefix", "Firm")
 
 

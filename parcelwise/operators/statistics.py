@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+#: Prices and days enter the histogram with two decimals, as the source schema declares money.
 VALUE_TYPE = "decimal(18,2)"
 BIN_WIDTH = 1000.0
 PRICE, DOM = "price", "dom"
@@ -75,13 +76,18 @@ def sales_histogram(
 
 
 def exact_median(
-    hist: DataFrame, keys: Sequence[str], sums: Sequence[str], bin_width: float = BIN_WIDTH
+    hist: DataFrame,
+    keys: Sequence[str],
+    sums: Sequence[str],
+    bin_width: float = BIN_WIDTH,
+    never_null: Sequence[str] = (),
 ) -> DataFrame:
     """One row per ``keys``: the median of ``value`` weighted by ``n``, and ``sums``.
 
     ``hist`` may be finer than ``keys``. Values outside the middle bin are added up by
     bin, values inside it one by one, so both sides read the same histogram columns and
-    its shuffle is reused. Sums must not be NULL.
+    its shuffle is reused. Sums must not be NULL. A later filter on keys in ``never_null``
+    reaches both sides and the scan below; groups in which such a key is NULL are lost.
     """
     keys, sums = list(keys), list(sums)
     group = f"partition by {', '.join(keys)}"
@@ -109,7 +115,7 @@ def exact_median(
         )
         .where("_middle")
     )
-    same = " and ".join(f"h.{k} <=> t.{k}" for k in (*keys, "_bin"))
+    same = " and ".join(f"h.{k} {'=' if k in never_null else '<=>'} t.{k}" for k in (*keys, "_bin"))
     near = binned.alias("h").join(located.alias("t"), F.expr(same)).selectExpr(
         "h.*", "t._below", "t._total", *[f"t.{c}" for c in rest]
     )
@@ -144,14 +150,17 @@ def sales_columns(avg_dom: str = "avg_dom") -> list[Column]:
 
 
 def sales_stats(
-    sales: DataFrame, keys: Sequence[str], counted: Column | None = None
+    sales: DataFrame,
+    keys: Sequence[str],
+    counted: Column | None = None,
+    never_null: Sequence[str] = (),
 ) -> DataFrame:
     """Count, volume, averages and exact median price by ``keys``.
 
-    Groups without a counted row are left out.
+    Groups without a counted row are left out. ``never_null`` as in ``exact_median``.
     """
     hist = sales_histogram(sale_measures(sales), keys, counted)
-    stats = exact_median(hist, keys, SALES_SUMS)
+    stats = exact_median(hist, keys, SALES_SUMS, never_null=never_null)
     return stats.where("sales_count > 0").select(*keys, *sales_columns())
 
 
@@ -160,5 +169,14 @@ def by_close_quarter(df: DataFrame, close_date="close_date") -> DataFrame:
     return df.withColumns({"Qtr": F.quarter(close_date), "Yr": F.year(close_date)})
 
 
-def closed_residential(listings: DataFrame) -> DataFrame:
-    return listings.where(F.col("close_date").isNotNull() & (F.col("property_type") == "Residential"))
+QUARTER = ("Qtr", "Yr")
+Quarters = Sequence[tuple[int, int]] | None
+
+
+def closed_residential(listings: DataFrame, quarters: Quarters = None) -> DataFrame:
+    """Residential sales, of the (year, quarter) pairs only if they are given."""
+    return listings.where(
+        F.col("close_date").isNotNull()
+        & C.in_quarters("close_date", quarters)
+        & (F.col("property_type") == "Residential")
+    )

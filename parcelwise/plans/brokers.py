@@ -41,7 +41,8 @@ def broker_rank_towns(t: Tables, frame: OpenFrame | None = None) -> DataFrame:
             "OfficeRank": R.dense_rank_units(MARKET),
         }
     ).join(R.tab_texts(t["custom_tabs"]), "TabName")
-    own = F.when(F.array_contains(C.own_office_ids("TabHeader"), F.col("MLSID")), F.col("OfficeRank"))
+    own_ids = C.own_office_ids(F.upper("TabHeader"))
+    own = F.when(F.array_contains(own_ids, F.upper("MLSID")), F.col("OfficeRank"))
     return (
         ranked.withColumn("_limit", R.rank_limit(own, MARKET))
         .where(F.col("OfficeRank") <= F.col("_limit"))
@@ -49,7 +50,6 @@ def broker_rank_towns(t: Tables, frame: OpenFrame | None = None) -> DataFrame:
             "GroupType", "TabName", "Broker", "MLSID", *R.unit_columns(), "PercUnits", "OfficeRank",
             "TabHeader", "message_text",
         )
-        .orderBy("TabName", "GroupType", "OfficeRank")
     )
 
 
@@ -64,7 +64,7 @@ def firm_ranking(
     """
     offices = t["broker_offices"].select(
         "office_key",
-        C.firm_prefix().alias("_prefix"),
+        R.firm_key().alias("_prefix"),
         F.col("office_city").alias("OfficeCity"),
         F.col("office_mls_id").alias("MLSID"),
     )
@@ -110,7 +110,6 @@ def firm_ranking(
             "GroupType", "TabName", "FirmPrefix", "Firm", "OfficeCity", "MLSID", *R.unit_columns(),
             "PercUnits", "FirmRank", "OfficeRank", "TabHeader", "message_text",
         )
-        .orderBy("TabName", "GroupType", "FirmPrefix", "OfficeRank")
     )
 
 

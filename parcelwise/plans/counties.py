@@ -56,6 +56,10 @@ class CountyScope:
             F.when(right_state, F.when(fourth, 1).otherwise(repeat)).alias("weight"),
         )
 
+    def any_source(self) -> Column:
+        """Is the row from a source that covers any of the counties? Needs no county yet."""
+        return any_source(self.sources) | any_source(self.fourth_sources)
+
     def covered(self) -> Column:
         """Is the row from a source that covers its county, with a weight?"""
         three = F.col("tri") & any_source(self.sources)
@@ -106,9 +110,15 @@ def county_histogram(
     }
     recent = C.open_or_closed_since(F.add_months(frame.py_eval_date, -12))
     listings = t["listings"].where(F.col("property_type").isin("Residential", "Land") & recent)
+    # a listing in no measure of either year stays out of the joins
+    listings = listings.where(C.any_of([*quarters.values(), *on_market.values(), *sold.values()]))
+    if not strict_parity:
+        listings = listings.where(scope.any_source())
     rows = county_rows(listings, t, scope).withColumn("PropertyType", C.property_class())
+    if not strict_parity:
+        rows = rows.where(scope.covered())
 
-    in_sales = F.lit(True) if strict_parity else scope.covered()
+    in_sales = F.lit(True)
     year = C.first_match((in_sales & test, y) for y, test in quarters.items())
     rows = S.sale_measures(rows).withColumn("year", year)
     rows = rows.withColumn("price", F.when(F.col("year").isNotNull(), F.col("price")))
@@ -289,14 +299,18 @@ def county_all(
     )
 
 
-def county_level(t: Tables, scope: CountyScope | None = None) -> DataFrame:
+def county_level(
+    t: Tables, scope: CountyScope | None = None, quarters: S.Quarters = None
+) -> DataFrame:
     """Sales by county, property class, quarter and year."""
     listings = t["listings"].where(
-        F.col("close_date").isNotNull() & F.col("property_type").isin("Residential", "Land")
+        F.col("close_date").isNotNull()
+        & C.in_quarters("close_date", quarters)
+        & F.col("property_type").isin("Residential", "Land")
     )
     rows = county_rows(listings, t, scope or CountyScope())
     rows = S.by_close_quarter(rows.withColumn("PropertyType", C.property_class()))
-    return S.sales_stats(rows, ["PropertyType", "County", "Qtr", "Yr"])
+    return S.sales_stats(rows, ["PropertyType", "County", *S.QUARTER], never_null=S.QUARTER)
 
 
 def price_range_county(
@@ -321,7 +335,8 @@ def price_range_county(
         for tag, end in ends.items()
     }
     recent = C.open_or_closed_since(F.add_months(frame.py_end, -12))
-    listings = t["listings"].where((F.col("property_type") == "Residential") & recent)
+    counts = C.any_of(test for group in tests.values() for test in group)
+    listings = t["listings"].where((F.col("property_type") == "Residential") & recent & counts)
     rows = county_rows(listings, t, scope).where(scope.covered())
     rows = rows.withColumn("band", C.price_band("list_price", breaks, null_band=len(breaks) + 1))
     wide = band_sums(rows.withColumnRenamed("County", "county"), ["county", "band"], tests)

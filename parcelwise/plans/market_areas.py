@@ -90,20 +90,27 @@ def area_rows(listings: DataFrame, t: Tables, rules: AreaRules, label: str) -> D
 
 
 def market_area(
-    t: Tables, eval_date, py_eval_date, as_of=None, rules: AreaRules | None = None
+    t: Tables,
+    eval_date,
+    py_eval_date,
+    as_of=None,
+    rules: AreaRules | None = None,
+    quarters: S.Quarters = None,
 ) -> DataFrame:
     """Sales, medians and active listings by market area and quarter.
 
     Every quarter of a year shows the inventory of that year's evaluation date. The
-    column ``avg_DOM`` is a median.
+    column ``avg_DOM`` is a median. ``quarters`` limits the sales to (year, quarter) pairs;
+    inventories need no sale.
     """
     frame = quarter_frame(as_of)
     on_market = {
         "inv_cy": C.on_market_at(C.date_literal(eval_date)),
         "inv_py": C.on_market_at(C.date_literal(py_eval_date)),
     }
-    sold = F.col("close_date").isNotNull()
-    rows = area_rows(t["listings"], t, rules or AreaRules(), "Area")
+    sold = C.in_quarters("close_date", quarters)
+    listings = t["listings"].where(C.any_of([sold, *on_market.values()]))
+    rows = area_rows(listings, t, rules or AreaRules(), "Area")
     rows = S.by_close_quarter(S.sale_measures(rows, "m_list_date", "m_close_date"))
     rows = rows.withColumns({c: F.when(sold, F.col(c)) for c in ("price", "dom")})
 
@@ -198,7 +205,8 @@ def price_range_area(
         for tag, (day, end) in years.items()
     }
     first = F.least(C.date_literal(py_eval_date), F.add_months(frame.py_end, -3))
-    listings = t["listings"].where(C.open_or_closed_since(first))
+    counts = C.any_of(test for group in tests.values() for test in group)
+    listings = t["listings"].where(C.open_or_closed_since(first) & counts)
     rows = area_rows(listings, t, rules or AreaRules(), "area").withColumns(
         {
             "band": C.price_band("list_price", breaks, null_band=len(breaks) + 1),
@@ -240,7 +248,7 @@ def supply_demand(
     end = C.date_literal(end_date)
     supply = C.on_market_at(F.date_sub(end, 1))
     demand = C.in_half_open("close_date", end, 6) & (F.col("close_price") > 0)
-    listings = t["listings"].where(C.open_or_closed_since(F.add_months(end, -6)))
+    listings = t["listings"].where(C.open_or_closed_since(F.add_months(end, -6)) & (supply | demand))
     rows = area_rows(listings, t, rules or AreaRules.supply(), "Area")
 
     top = len(breaks) + 1

@@ -87,7 +87,7 @@ def share_by_company(
     return shares.select(
         "County", "Company", *QUARTER_COLUMNS, "SidesCount", "VolumeTotal",
         "SidesMarketShare", "VolumeMarketShare",
-    ).orderBy("date_year", "date_qtr", F.desc("SidesCount"))
+    )
 
 
 def share_by_price_range(
@@ -106,4 +106,4 @@ def share_by_price_range(
         "County", "listpricebucket", "Company", *QUARTER_COLUMNS, "SidesCount", "VolumeTotal",
         C.band_label("listpricebucket", breaks).alias("listpricebuckettext"),
         "SidesMarketShare", "VolumeMarketShare",
-    ).orderBy("date_year", "date_qtr", F.desc("SidesCount"))
+    )

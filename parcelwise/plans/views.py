@@ -18,11 +18,13 @@ def report_quarter(df: DataFrame, year: int, quarter: int) -> DataFrame:
 def yoy_change(value: str, keys=("Area", "Qtr"), year="Yr") -> Column:
     """Change from the year before, on values rounded half to even to whole numbers.
 
-    A missing value counts as 0; the change is NULL from a missing year or from 0.
+    A missing value counts as 0; the change is NULL from a missing year or from 0. Each
+    year compares to the one before it; in the two-year views that is the first one shown.
     """
     whole = F.coalesce(F.bround(F.col(value).cast("double"), 0), F.lit(0.0))
-    before = F.lag(whole).over(Window.partitionBy(*keys).orderBy(year))
-    return C.relative_change(whole, before)
+    years = Window.partitionBy(*keys).orderBy(year)
+    follows = F.lag(year).over(years) == F.col(year) - 1
+    return C.relative_change(whole, F.when(follows, F.lag(whole).over(years)))
 
 
 def area_yoy(report: DataFrame, year: int, quarter: int) -> DataFrame:

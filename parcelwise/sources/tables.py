@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
 from .schemas import TABLES, source_schema
 
 CASE_BLIND = "UTF8_LCASE"
@@ -15,19 +16,36 @@ LISTING_KEYS = ("listing_key", "source_system_id")
 KEYED_TABLES = ("listings", "listings_geo", "area_listings", "listings_custom_geo")
 
 
-def standardise(df: DataFrame, table: str, case_blind: bool = False) -> DataFrame:
+#: Coded columns, which get the spelling that the reports compare with.
+CODES = {
+    "standard_status": (*K.STATUS_ON_MARKET, *K.STATUS_OFF_MARKET, K.STATUS_CLOSED, K.STATUS_UPCOMING),
+    "property_type": ("Residential", "Land"),
+    "property_sub_type": K.PROPERTY_SUBTYPES,
+}
+
+
+def spelled(value: Column, codes: Sequence[str]) -> Column:
+    """A code in its usual spelling; other values as they are."""
+    known = F.create_map(*[F.lit(x) for code in codes for x in (code.lower(), code)])
+    return F.coalesce(F.try_element_at(known, F.lower(value)), value)
+
+
+def standardise(df: DataFrame, table: str, case_blind: bool = True) -> DataFrame:
     """Select a table's columns under library names.
 
-    Trailing blanks are cut, so that equality ignores them. ``case_blind`` gives text
-    columns other than keys a case-insensitive collation, so that filters, joins and
-    groups ignore case.
+    Trailing blanks are cut, so that equality ignores them. ``case_blind`` gives coded
+    columns their usual spelling and other text columns, keys excepted, a case-insensitive
+    collation, so that filters, joins and groups ignore case. A scan cannot push filters
+    through these steps: ``store_tables`` does them once, at ingest.
     """
     columns = []
     for name, (source, kind) in TABLES[table].items():
         value = F.col(source).cast(kind)
         if isinstance(kind, T.StringType):
             value = F.rtrim(value)
-            if case_blind and not name.endswith("_key"):
+            if case_blind and name in CODES:
+                value = spelled(value, CODES[name])
+            elif case_blind and not name.endswith("_key"):
                 value = F.collate(value, CASE_BLIND)
         columns.append(value.alias(name))
     return df.select(*columns)
@@ -63,6 +81,23 @@ def write_keyed(df: DataFrame, name: str, buckets: int, path: str | None = None)
     writer.saveAsTable(name)
 
 
+def store_tables(tables: Mapping[str, DataFrame], prefix: str, buckets: int) -> None:
+    """Save cleaned tables in the catalog as ``<prefix><table>``, listing-keyed ones bucketed."""
+    for table, df in tables.items():
+        if table in KEYED_TABLES:
+            write_keyed(df, prefix + table, buckets)
+        else:
+            df.write.mode("overwrite").format("parquet").saveAsTable(prefix + table)
+
+
+def stored_tables(spark: SparkSession, prefix: str, names: Iterable[str] = TABLES) -> dict[str, DataFrame]:
+    """Tables that ``store_tables`` saved, column by column as stored.
+
+    Filters reach the Parquet scan, and listing-keyed tables join without a shuffle.
+    """
+    return {name: spark.table(prefix + name) for name in names}
+
+
 def write_by_close_year(df: DataFrame, path: str) -> None:
     """Save listings partitioned by source and close year, so that filters prune folders."""
     year = F.year("close_date")

@@ -54,6 +54,16 @@ def test_old_sales_filter_keeps_all_that_counts(spark):
     kept = C.open_or_closed_since(F.lit(DAY))
     assert rows.where(counts).count() == rows.where(counts & kept).count() > 0
     assert rows.where(kept).count() < rows.count()
+    old = rows.where("standard_status = 'Expired' and close_date is null and status_date is null")
+    assert old.count() > 0 and old.where(kept).count() == 0
+
+
+def test_quarters_as_date_ranges(spark):
+    days = [date(1999, 12, 31), date(2000, 1, 1), date(2000, 3, 31), date(2000, 4, 1), date(2001, 12, 31), None]
+    rows = spark.createDataFrame([(d,) for d in days], "close_date date")
+    kept = [r.close_date for r in rows.where(C.in_quarters("close_date", [(2000, 1), (2001, 4)])).collect()]
+    assert kept == [days[1], days[2], days[4]]
+    assert rows.where(C.in_quarters("close_date", None)).count() == 5 and rows.where(C.in_quarters("close_date", [])).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -1,6 +1,7 @@
 """Every query against its SQL, and the shape of the plans behind the reports."""
 
 import io
+import os
 import re
 from contextlib import redirect_stdout
 
@@ -12,7 +13,11 @@ import __spark_entry__ as entry
 import check_oracles
 import market_queries as Q
 from parcelwise import plans as P
+from parcelwise.functions import columns as C
+from parcelwise.functions import constants as K
 from parcelwise.operators import statistics as S
+from parcelwise.plans import views as PV
+from parcelwise.sources import tables as T
 
 # Seven suppliers are too few for these to find an own office in every period.
 MAY_BE_EMPTY = {"rank_up_to_own", "rpt_broker_towns", "rpt_firm_counties", "rpt_firm_zones",
@@ -24,16 +29,68 @@ def db():
     return check_oracles.connect(SAMPLE_DIR)
 
 
+MARKET = [*Q.OPERATORS, *Q.REPORTS]
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(MARKET) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", MARKET)
 def test_query_agrees_with_sql(spark, db, name):
     problem = check_oracles.compare(spark, db, SAMPLE_DIR, name)
     assert problem == "" or (problem == "no rows" and name in MAY_BE_EMPTY)
 
 
+LARGER_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER_DIR), reason="no larger sample")
+@pytest.mark.parametrize("name", sorted(MAY_BE_EMPTY))
+def test_rankings_have_rows_and_agree(spark, name):
+    assert check_oracles.compare(spark, check_oracles.connect(LARGER_DIR), LARGER_DIR, name) == ""
+
+
+def test_orders(sample):
+    units = [(r.zone, -r.units, r.office_key) for r in Q.OPERATORS["order_multi"](sample).collect()]
+    assert units == sorted(units) and len(set(units)) > 2
+    texts = C.band_texts(K.BREAKS_5)
+    bands = [texts.index(r.band) for r in Q.OPERATORS["order_custom"](sample).collect()]
+    assert bands == sorted(bands) and len(bands) > 2
+    zones = [int(r.tab_name.split()[1]) for r in Q.OPERATORS["order_zone_number"](sample).collect()]
+    assert zones == sorted(zones) and len(zones) > 2
+    areas = [(r.Area, r.Yr) for r in Q.REPORTS["view_area_yoy"](sample).collect()]
+    assert areas == sorted(areas) and areas
+    points = [(r.area, K_ORDER.index(r.listpricebucket)) for r in Q.REPORTS["view_price_point_yoy"](sample).collect()]
+    assert points == sorted(points) and points
+
+
+K_ORDER = C.band_texts(K.BREAKS_4)
+
+
+def test_firm_display_order(spark):
+    rows = [
+        ("T", "g", p, f, c, m, 1, 1.0, 1, 0.5, fr, o)
+        for p, f, c, m, fr, o in [
+            ("B", "Bee", None, None, 1, None), ("A", "Ay", None, None, 2, None), ("A", "Ay", "X", "A2", None, 3),
+            ("A", "Ay", "Y", "A1", None, 1), ("B", "Bee", "Z", "B1", None, 2),
+        ]
+    ]
+    ranking = spark.createDataFrame(
+        rows,
+        "TabName string, GroupType string, FirmPrefix string, Firm string, OfficeCity string, MLSID string, NoUnits int, "
+        "AvgPrice double, avg_DOM int, PercUnits double, FirmRank int, OfficeRank int",
+    )
+    assert [r.DisplayName for r in P.firm_display(ranking).collect()] == ["Bee", "Z", "Ay", "Y", "X"]
+
+
+def test_change_is_from_the_year_before(spark):
+    rows = [("a", 2, 2019, 100), ("a", 2, 2021, 150), ("a", 2, 2022, 75), ("b", 2, 2020, 0), ("b", 2, 2021, 5), ("b", 2, 2022, None)]
+    frame = spark.createDataFrame(rows, "Area string, Qtr int, Yr int, n int")
+    got = {(r.Area, r.Yr): r.c for r in frame.select("Area", "Yr", PV.yoy_change("n").alias("c")).collect()}
+    assert got == {("a", 2019): None, ("a", 2021): None, ("a", 2022): -0.5, ("b", 2020): None, ("b", 2021): None, ("b", 2022): -1.0}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
@@ -57,6 +114,13 @@ REPORT_SCANS = {
     "rpt_county_level": {"orders": 2, "customer": 1},
     "rpt_price_range_county": {"orders": 2, "customer": 1},
     "rpt_municipality": {"orders": 2, "customer": 1},
+    "rpt_custom_geo": {"orders": 4, "customer": 1},
+    "rpt_towns": {"orders": 4, "customer": 2},
+    "rpt_share_company": {"orders": 4, "customer": 1},
+    "rpt_share_price_range": {"orders": 4, "customer": 1},
+    "view_area_yoy": {"orders": 3, "customer": 2},
+    "view_price_point_yoy": {"orders": 3, "customer": 2},
+    "view_firm_display": {"orders": 1, "customer": 1},
     "rpt_broker_towns": {"orders": 1, "customer": 1},
     "rpt_firm_counties": {"orders": 1, "customer": 1},
     "rpt_firm_zones": {"orders": 1, "customer": 1},
@@ -73,8 +137,78 @@ def test_each_table_is_scanned_once(sample, name):
         assert 0 < found <= scans, plan
 
 
-def test_the_median_reuses_the_histogram_shuffle(sample):
-    assert "ReusedExchange" in executed(Q.REPORTS["rpt_municipality"](sample))
+@pytest.mark.parametrize("name", ["rpt_municipality", "rpt_custom_geo"])
+def test_the_median_reuses_the_histogram_shuffle(sample, name):
+    assert "ReusedExchange" in executed(Q.REPORTS[name](sample))
+
+
+@pytest.mark.parametrize(
+    "report", [lambda t, **k: P.county_level(t, Q.SCOPE, **k), P.municipality_level]
+)
+def test_one_quarter_of_a_report(sample, report):
+    """The parameter keeps one read of the listings, and gives the rows that a filter gives."""
+    wanted = "Yr = 2000 and Qtr = 2"
+    filtered, asked = report(sample).where(wanted), report(sample, quarters=[(2000, 2)])
+    reads = [
+        len(re.findall(r"FileScan parquet \[[^\]]*\bo_\w+", executed(df))) for df in (asked, report(sample))
+    ]
+    assert reads[0] == reads[1]
+    rows = sorted(map(repr, filtered.collect()))
+    assert rows == sorted(map(repr, asked.collect())) and rows
+
+
+def test_quarters_parameter(sample):
+    pairs = ((1999, 2), (2000, 3))
+    for report in (P.municipality_level, lambda t, **k: P.county_level(t, Q.SCOPE, **k), lambda t, **k: P.towns_communities(t, Q.TOWNS, Q.COMMUNITIES, Q.PLACES, **k)):
+        some = sorted(map(repr, report(sample, quarters=pairs).collect()))
+        assert some == sorted(repr(r) for r in report(sample).collect() if (r.Yr, r.Qtr) in pairs) and some
+    areas = P.market_area(sample, Q.EVAL, Q.PY_EVAL, Q.AS_OF, Q.AREA_RULES, Q.QUARTERS)
+    every = P.market_area(sample, Q.EVAL, Q.PY_EVAL, Q.AS_OF, Q.AREA_RULES)
+    assert sorted(map(repr, areas.collect())) == sorted(repr(r) for r in every.collect() if (r.Yr, r.Qtr) in Q.QUARTERS)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, sample):
+    """All tables cleaned and saved by the library, and read back by it."""
+    names = ("listings", "listings_geo", "area_listings", "county_names", "county_by_region")
+    T.store_tables({n: sample[n] for n in names}, "st_", 4)
+    yield T.stored_tables(spark, "st_", names)
+    for n in names:
+        spark.sql(f"drop table st_{n}")
+
+
+STORED_REPORTS = {
+    "price_range_area": lambda t: P.price_range_area(t, Q.EVAL, Q.PY_EVAL, Q.AS_OF, K.BREAKS_4, Q.AREA_RULES),
+    "supply_demand": lambda t: P.supply_demand(t, Q.EVAL, 2000, K.BREAKS_16, Q.SUPPLY_RULES),
+    "price_range_county": lambda t: P.price_range_county(t, Q.AS_OF, K.BREAKS_5, Q.SCOPE_BANDS),
+    "county_class": lambda t: P.county_class(t, Q.EVAL, Q.SCOPE),
+    "county_all": lambda t: P.county_all(t, Q.EVAL, Q.SCOPE),
+}
+
+
+@pytest.mark.parametrize("name", list(STORED_REPORTS))
+def test_filters_reach_the_stored_listings(stored, sample, name):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        STORED_REPORTS[name](stored).explain("formatted")
+    scans = [s for s in out.getvalue().split("\n\n") if "st_listings\n" in s and "PushedFilters" in s]
+    assert scans
+    for scan in scans:
+        pushed = re.search("PushedFilters: (.*)", scan).group(1)
+        assert "close_date" in pushed and "property_type" in pushed and "standard_status" in pushed and "status_date" in pushed
+    assert sorted(map(repr, STORED_REPORTS[name](stored).collect())) == sorted(map(repr, STORED_REPORTS[name](sample).collect()))
+
+
+def test_stored_listings_meet_their_geography_without_a_shuffle(spark, stored):
+    from parcelwise.operators.joins import with_geo
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = with_geo(stored["listings"].where("property_type = 'Land'"), stored["listings_geo"], ["county_fp"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_no_cross_join_in_zero_filled_report(sample):

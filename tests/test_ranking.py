@@ -140,13 +140,26 @@ def test_first_firm_of_a_prefix(spark):
     assert firms == {"AB": "M", "CD": None}
 
 
+def test_firms_ignore_case(spark):
+    offices = spark.createDataFrame(
+        [(1, "Z", None, "AAA01", "c"), (2, "Y", "M", "aaa02", "c")],
+        "office_key long, office_name string, company string, office_mls_id string, office_city string",
+    )
+    assert [tuple(r) for r in R.firm_directory(offices).collect()] == [("AAA", "M")]
+
+
 def test_grid_and_zero_fill(spark):
     geos = spark.createDataFrame([("a",), ("b",), ("a",)], "geo string")
     facts = spark.createDataFrame([("a", 1, 2020, 5, None)], "geo string, Qtr int, Yr int, n long, price double")
     more = spark.createDataFrame([("b", 2, 2020, 1, 1.0)], facts.schema)
     facts = facts.union(more)
-    grid = J.dense_grid(geos, facts, "geo", ["Qtr", "Yr"])
-    rows = {tuple(r) for r in J.fill_missing(grid, facts, ["geo", "Qtr", "Yr"]).collect()}
+    grid = {tuple(r) for r in J.dense_grid(geos, facts, "geo", ["Qtr", "Yr"]).collect()}
+    assert grid == {(g, q, 2020) for g in "ab" for q in (1, 2)}
+    filled = J.fill_grid(geos.union(spark.createDataFrame([("c",)], "geo string")), facts, "geo", ["Qtr", "Yr"])
+    assert filled.columns == ["geo", "Qtr", "Yr", "n", "price"]
+    found = [tuple(r) for r in filled.collect()]
+    assert len(found) == len(set(found)) == 6 and {("c", 1, 2020, 0, 0.0), ("c", 2, 2020, 0, 0.0)} <= set(found)
+    rows = {r for r in found if r[0] != "c"}
     assert rows == {("a", 1, 2020, 5, None), ("a", 2, 2020, 0, 0.0), ("b", 1, 2020, 0, 0.0), ("b", 2, 2020, 1, 1.0)}
 
 

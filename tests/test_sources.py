@@ -28,9 +28,18 @@ def test_read_parquet_under_library_names(spark, tmp_path):
 
 
 def test_case_blind_text(spark):
-    listings = tables.standardise(source_rows(spark), "listings", case_blind=True)
-    assert listings.where("standard_status = 'ACTIVE'").count() == 1
-    assert tables.standardise(source_rows(spark), "listings").where("standard_status = 'ACTIVE'").count() == 0
+    listings = tables.standardise(source_rows(spark), "listings")
+    assert listings.where("standard_status = 'Active'").count() == 1
+    exact = tables.standardise(source_rows(spark), "listings", case_blind=False)
+    assert exact.where("standard_status = 'Active'").count() == 0
+    places = spark.createDataFrame([(None,) * 7], schemas.source_schema("listings_geo"))
+    assert "LCASE" in str(tables.standardise(places, "listings_geo").schema["municipality"].dataType)
+
+
+def test_codes_get_their_usual_spelling(spark):
+    values = [("CLOSED",), ("active under contract",), ("Odd Value",), (None,)]
+    got = spark.createDataFrame(values, "v string").select(tables.spelled(F.col("v"), tables.CODES["standard_status"])).collect()
+    assert [r[0] for r in got] == ["Closed", "Active Under Contract", "Odd Value", None]
 
 
 def test_keyed_tables_join_without_a_shuffle(spark, sample):
@@ -91,7 +100,7 @@ def ingested(spark, sample):
                 for c, (source, kind) in columns.items()
             ]
         )
-        out[table] = tables.standardise(raw, table, case_blind=True)
+        out[table] = tables.standardise(raw, table)
     return out
 
 
