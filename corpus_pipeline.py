@@ -28,9 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates.
 
-    Similarity is that of SimHash fingerprints over five-word shingles: two bits of 64 at most.
+    Groups are those of the operator's contract: fingerprints over three-word shingles that differ
+    in two bits of 64 at most.
     """
-    return simhash.keep_one(docs, shingle=5)
+    return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

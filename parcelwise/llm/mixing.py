@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 UNIT = 1_000_000_000
 STARTS = 16
-SPLITS = 64
+HEX = "0123456789abcdef"
 NEWTON_STEPS = 64
 
 
@@ -77,6 +77,19 @@ def rate(size: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
     return F.when((size > 0) & (target > 0), tilted).otherwise(0.0)
 
 
+def band(size: Column) -> Column:
+    """Grows with the size: its number of digits, and its first two digits in fives."""
+    digits = size.cast("string")
+    return 20 * F.length(digits) + F.floor(F.substr(digits, F.lit(1), F.lit(2)).cast("int") / 5)
+
+
+def split(doc_id: Column) -> Column:
+    """One of 64 parts, by an MD5 of the id, so that equal sizes in a large source are no single group."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+    digit = lambda k: F.instr(F.lit(HEX), F.substr(digest, F.lit(k), F.lit(1))) - 1
+    return digit(1) + 16 * (digit(2) % 4)
+
+
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken of every row.
 
@@ -88,9 +101,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -
         "scaled", F.round(rate(F.col("source_size"), F.col("target")) * UNIT).cast("long")
     )
     sources = stored(sources.withColumn("scaled", F.least(F.col("scaled"), F.lit(most * UNIT))))
-    placed = sizes.withColumn("band", F.floor(8 * F.log2(F.col("size") + 1))).withColumn(
-        "split", F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS))
-    )
+    placed = sizes.withColumn("band", band(F.col("size"))).withColumn("split", split(F.col("doc_id")))
     blocks = placed.groupBy("source", "band", "split").count()
     within = Window.partitionBy("source").orderBy("band", "split").rowsBetween(Window.unboundedPreceding, -1)
     blocks = stored(blocks.withColumn("before", F.coalesce(F.sum("count").over(within), F.lit(0))).drop("count"))

@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that DuckDB can hold them against.
 
-SQL is given for the URL filters and the mixing. The other operators fit a model, use a tokenizer or
+SQL is given for the URL filters and the mixing, whose rates it takes as quotients. The other operators fit a model, use a tokenizer or
 a hash that DuckDB lacks, or iterate; tests hold them against brute force.
 """
 
@@ -189,4 +189,58 @@ from captures c left join ranked r on r.k = 1 and c.page_id is not distinct from
   and c.fetched is not distinct from r.fetched
 """
 
-ORACLES = {"op1_url_filters": OP1_SQL}
+_STEP = mixing.UNIT // mixing.STARTS
+
+
+def _copies(start: str) -> str:
+    return (
+        f"(scaled // {mixing.UNIT} + ((scaled % {mixing.UNIT}) * rank + {start}) // {mixing.UNIT} "
+        f"- ((scaled % {mixing.UNIT}) * (rank - 1) + {start}) // {mixing.UNIT})"
+    )
+
+
+OP7_SQL = rf"""
+with recursive sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents
+), totals as (
+  select source, cast(sum(size) as bigint) as source_size from sized group by source
+), weighed as (
+  select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight,
+    row_number() over (order by source nulls last) as n from totals
+), rounds as (
+  -- stop what exceeds three times its source, reshare the rest, until none exceeds
+  select 0 as round, n, source_size, weight, false as stopped from weighed
+  union all
+  select round + 1, n, source_size, weight, stopped or
+    weight * (sum(source_size) over () - coalesce(sum(case when stopped then 3 * source_size end) over (), 0))
+      >= 3 * source_size * sum(case when stopped then 0 else weight end) over ()
+  from rounds where round < (select count(*) from weighed)
+), targets as (
+  select w.source, w.source_size, case when r.stopped then cast(3 * w.source_size as double)
+    else r.weight * cast(sum(r.source_size) over () - coalesce(sum(case when r.stopped then 3 * r.source_size end) over (), 0) as bigint)
+      / cast(sum(case when r.stopped then 0 else r.weight end) over () as bigint) end as target
+  from rounds r join weighed w on r.n = w.n where r.round = (select max(round) from rounds)
+), rates as (
+  select *, case when source_size > 0 then least(cast(round(target / source_size * {mixing.UNIT}) as bigint), {mixing.MOST * mixing.UNIT}) else 0 end as scaled
+  from targets
+), ranked as (
+  select s.doc_id, s.source, s.size, row_number() over (partition by s.source order by
+    20 * length(cast(s.size as varchar)) + cast(substr(cast(s.size as varchar), 1, 2) as int) // 5,
+    {_digit("coalesce(cast(s.doc_id as varchar), '')", 1)} + 16 * ({_digit("coalesce(cast(s.doc_id as varchar), '')", 2)} % 4),
+    s.size, s.doc_id nulls first) as rank
+  from sized s
+), joined as (
+  select r.*, t.source_size, t.target, t.scaled from ranked r join rates t on r.source is not distinct from t.source
+), starts as (
+  select {_STEP} * i + {_STEP // 2} as start from range({mixing.STARTS}) x(i)
+), tried as (
+  select source, start, abs(sum(size * {_copies("start")}) - any_value(target)) as miss from joined, starts group by source, start
+), best as (
+  select source, start from (select *, row_number() over (partition by source order by miss, start) as k from tried) where k = 1
+)
+select doc_id, size, source_size, target, cast(scaled as double) / {mixing.UNIT} as rate, cast({_copies("start")} as bigint) as copies,
+  cast(size * {_copies("start")} as bigint) as taken
+from joined j join best b on j.source is not distinct from b.source
+"""
+
+ORACLES = {"op1_url_filters": OP1_SQL, "op7_mixing": OP7_SQL}
