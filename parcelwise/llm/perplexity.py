@@ -283,12 +283,13 @@ def measured(docs: DataFrame, arrays: list[Arrays]) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), run, ddl)
 
 
-def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0) -> DataFrame:
+def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.8) -> DataFrame:
     """Base counts, log_ppl, base_failed and kept for every row of ``docs``.
 
     The bands of a language are its quartiles of log_ppl, over its documents that pass the base
-    rules, widened by ``width`` times their distance (at least a twentieth of the median). A NULL
-    language has bands of its own, and so has each other value of ``lang``. Empty and NULL texts have
+    rules, widened by ``width`` times their distance, and by a twentieth of the median at least. Above
+    it is ``headroom`` times the median at least, so that clean texts with numbers, keys or a foreign
+    passage stay. A NULL language has bands of its own, and so has each other value of ``lang``. Empty and NULL texts have
     no words and fail the base rules. Repeated rows come back repeated. Other columns are not read.
     """
     rows = stored(measured(docs, model(docs, slots)).withColumn(
@@ -299,7 +300,8 @@ def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0) -> DataFrame
         quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3")
     )
     room = width * F.greatest(F.col("q3") - F.col("q1"), F.col("q2") / 20)
-    bands = stored(bands.select("lang", (F.col("q1") - room).alias("lower"), (F.col("q3") + room).alias("upper")))
+    above = F.greatest(room, headroom * F.col("q2"))
+    bands = stored(bands.select("lang", (F.col("q1") - room).alias("lower"), (F.col("q3") + above).alias("upper")))
     inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
     return rows.join(bands, rows["lang"].eqNullSafe(bands["lang"]), "left").select(
         "doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl",
@@ -307,8 +309,7 @@ def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0) -> DataFrame
     )
 
 
-def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0) -> DataFrame:
+def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.8) -> DataFrame:
     """``docs`` without the rows that the rules reject; a doc_id shared by several rows goes if one is rejected."""
-    bad = judged(docs, slots, width).where("not kept").select("doc_id").distinct()
-    rejected = docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    return rejected
+    bad = judged(docs, slots, width, headroom).where("not kept").select("doc_id").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
