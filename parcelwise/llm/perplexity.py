@@ -29,6 +29,8 @@ SLOTS = 1 << 22
 PIECE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 INDEX_BITS = 20
+#: What a byte costs at the most: rare characters of a clean text count as rare, not as impossible.
+WORST = 7.0
 SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 
 
@@ -259,7 +261,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def measured(docs: DataFrame, arrays: list[Arrays]) -> DataFrame:
-    """doc_id, lang, the base counts and log_ppl, the mean negative log probability of a byte."""
+    """doc_id, lang, the base counts and log_ppl, the mean negative log probability of a byte, each ``WORST`` at most."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((m, pa.int64()) for m in MEASURES), ("log_ppl", pa.float64())])
 
@@ -268,7 +270,8 @@ def measured(docs: DataFrame, arrays: list[Arrays]) -> DataFrame:
             values, offsets = byte_view(batch.column(2))
             total, at = np.zeros(batch.num_rows), 0
             for packed in pieces(values, offsets):
-                running = np.concatenate([[0.0], np.cumsum(log_probabilities(shared.value, packed))])
+                costs = np.maximum(log_probabilities(shared.value, packed), -WORST)
+                running = np.concatenate([[0.0], np.cumsum(costs)])
                 ends = np.clip(offsets - at, 0, len(packed))
                 total += running[ends[1:]] - running[ends[:-1]]
                 at += len(packed)
@@ -283,7 +286,7 @@ def measured(docs: DataFrame, arrays: list[Arrays]) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), run, ddl)
 
 
-def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.8) -> DataFrame:
+def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
     """Base counts, log_ppl, base_failed and kept for every row of ``docs``.
 
     The bands of a language are its quartiles of log_ppl, over its documents that pass the base
@@ -309,7 +312,7 @@ def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: fl
     )
 
 
-def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.8) -> DataFrame:
+def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
     """``docs`` without the rows that the rules reject; a doc_id shared by several rows goes if one is rejected."""
     bad = judged(docs, slots, width, headroom).where("not kept").select("doc_id").distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
