@@ -156,6 +156,39 @@ def test_contaminated(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_replaced_words(spark):
+    item = prose(800, 30)
+    words = item.split()
+    every_tenth = " ".join("zzzzq"[: len(w)] if i % 12 == 6 else w for i, w in enumerate(words))
+    short = "what is the boiling point of pure xenon?"
+    docs = [(1, f"{prose(1, 40)} {every_tenth} {prose(2, 40)}"), (2, f"{prose(3, 40)} {short.replace('pure', 'kold')} {prose(4, 9)}"), (3, "so 42 kelvin, they say"), (4, prose(5, 80))]
+    bench = [(1, item), (2, short), (3, "42 kelvin"), (4, "qy"), (5, "they sax in")]
+    docs += [(5, "it is qy"), (6, "indeed they say in town")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 5)}
+
+
+@pytest.mark.parametrize("q,length,held", [(8, 60, 1 << 21), (8, 60, 40), (5, 80, 1 << 21), (6, 64, 200)])
+def test_hits_against_brute_force(monkeypatch, q, length, held):
+    monkeypatch.setattr(decontamination, "HELD", held)
+    monkeypatch.setattr(decontamination, "ALIGNED", 3)
+    draw = np.random.default_rng(q + length)
+    rows = [(i, prose(900 + i, 1 + 2 * i)[: 3 + 13 * i]) for i in range(8)] + [(20, "aaaaaaaaaaaaaaaaaaaaaaaaa")]
+    index = decontamination.Index.of(rows, q, length, 0.1)
+    texts = ["", "a" * 300]
+    for i in range(30):
+        part = list(index.passages[i % len(index.passages)][1])
+        for _ in range(i % 8):
+            at = int(draw.integers(len(part)))
+            part[at : at + int(draw.integers(2))] = ["#"] * int(draw.integers(2))
+        texts.append(decontamination.normal(prose(i, 12) + " " * (i % 2) + "".join(part) + " " * (i % 3) + prose(i + 50, i % 9)))
+    want = {(t, n) for t, text in enumerate(texts) for n, (_, part, edits) in enumerate(index.passages) if text and slow_distance(part, text) <= edits}
+    found = list(decontamination.hits(texts, index))
+    assert {(t, n) for t, n, *_ in found} == want
+    for t, n in want:
+        assert min(used for a, b, _, used in found if (a, b) == (t, n)) == slow_distance(index.passages[n][1], texts[t])
+
+
 # --- mixing
 
 
