@@ -1,11 +1,11 @@
 """N-gram perplexity rules: a modified Kneser-Ney model over all documents, and bands by language.
 
 The units are UTF-8 bytes, so one model serves every script and needs no vocabulary. Spark counts
-the 5-grams of all texts that pass the base rules and are not strewn with symbols, so that what the
-rules refuse does not come to look usual; each text starts with four zero bytes, so every shorter n-gram is a suffix
-of a 5-gram, and the continuation counts of the lower orders come from distinct longer n-grams.
+the 5-grams of every text, and the bands by language decide what is unusual; each text starts with
+four zero bytes, so every shorter n-gram is a suffix of a 5-gram, and the continuation counts of the lower orders come from distinct longer n-grams.
 Probabilities are interpolated by joins on suffix and context. The finished model is five pairs of
 sorted hash arrays (hash, log probability, back-off weight) with an index on the leading hash bits.
+No text makes itself look usual: what it alone holds is unseen when it is judged, copies of it included.
 
 Size: an order keeps the n-grams with a count of at least total / ``slots``, so it has at most
 ``slots`` n-grams and as many contexts whatever the corpus; what is left out is reached by back-off,
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,56 +59,64 @@ def pieces(values: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         yield packed
 
 
-def fails(n_words: int, n_repeat_words: int) -> bool:
-    """The base rules."""
-    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+def piece_counts(packed: np.ndarray, text: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Rows (gram, n, least name, greatest name) of a piece; ``text`` numbers the text of each byte."""
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(names), np.uint64)
+    rank[order] = np.arange(len(names), dtype=np.uint64)
+    keys = packed << np.uint64(24) | rank[text]  # an n-gram has 40 bits, a piece less than 2 ** 24 texts
+    keys.sort()
+    starts = np.flatnonzero(np.diff(keys >> np.uint64(24), prepend=np.uint64(1 << 50)))
+    ends = np.append(starts[1:], len(keys)) - 1
+    named = names[order]
+    ranks = (keys & np.uint64(0xFFFFFF)).astype(np.int64)
+    return np.stack([(keys[starts] >> np.uint64(24)).astype(np.int64), ends - starts + 1, named[ranks[starts]], named[ranks[ends]]])
 
 
-def sound(raw: bytes) -> bool:
-    """Whether a text teaches the model: it passes the base rules and has a symbol to ten words at most."""
-    n, _, symbols, _, repeated = base_counts(raw)
-    return not fails(n, repeated) and 10 * symbols <= n
+def merged(held: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(held, axis=1)
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    starts = np.flatnonzero(np.diff(rows[0], prepend=-1))
+    return np.stack([rows[0, starts], np.add.reduceat(rows[1], starts), np.minimum.reduceat(rows[2], starts), np.maximum.reduceat(rows[3], starts)])
 
 
-def chosen(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sound texts of a batch."""
-    data = values.tobytes()
-    take = np.array([sound(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], bool)
-    sizes = np.diff(offsets)
-    return values[np.repeat(take, sizes)], np.concatenate([[0], np.cumsum(sizes[take])]).astype(np.int64)
+def counted(docs: DataFrame) -> DataFrame:
+    """(gram, n, lo, hi): how often each 5-gram of bytes occurs in all texts, whatever the rules say of them.
 
+    ``lo`` and ``hi`` are the least and the greatest name (a hash) of the texts that hold it, so they
+    are equal if no other text does.
+    """
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(gram, n): how often each 5-gram of bytes occurs in all sound texts."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+    def emit(rows: np.ndarray) -> pa.RecordBatch:
+        return batch_of(schema, gram=rows[0], n=rows[1], lo=rows[2].astype(np.int32), hi=rows[3].astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64)
-
-        def emit() -> pa.RecordBatch:
-            keys, n = merged()
-            return batch_of(schema, gram=keys.view(np.int64), n=n)
-
         for batch in slices(batches, 0):
-            for packed in pieces(*chosen(*byte_view(batch.column(0)))):
-                keys, n = np.unique(packed, return_counts=True)
-                held.append((keys, n))
-                size += len(keys)
+            values, offsets = byte_view(batch.column(0))
+            data = values.tobytes()
+            names = np.array([xxhash.xxh32_intdigest(data[a:b]) - (1 << 31) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+            at = 0
+            for packed in pieces(values, offsets):
+                text = np.searchsorted(offsets, np.arange(at, at + len(packed)), "right") - 1
+                at += len(packed)
+                first = text[0]
+                held.append(piece_counts(packed, text - first, names[first : text[-1] + 1]))
+                size += held[-1].shape[1]
                 if size > 4 * PIECE:
-                    held = [merged()]
-                    size = len(held[0][0])
+                    held = [merged(held)]
+                    size = held[0].shape[1]
                     if size > 2 * PIECE:
-                        yield emit()
+                        yield emit(held[0])
                         held, size = [], 0
         if held:
-            yield emit()
+            yield emit(merged(held))
 
-    return arrow_map(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text"), run, "gram long, n long, lo int, hi int").groupBy("gram").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
 
 
 def suffix(gram: Column, length: int) -> Column:
@@ -161,13 +170,19 @@ class Arrays:
         return found
 
 
-def model(docs: DataFrame, slots: int = SLOTS) -> list[Arrays]:
-    """The arrays of orders 1 to 5."""
+def model(docs: DataFrame, slots: int = SLOTS, others: bool = False) -> list[Arrays]:
+    """The arrays of orders 1 to 5.
+
+    With ``others``, an n-gram that a single text holds is counted, but its mass goes to the back-off:
+    no other text can ask for it, and that text is judged by what the others teach.
+    """
     raw = stored(counted(docs))
     levels = {ORDER: raw}
     for k in range(ORDER - 1, 0, -1):
         # distinct n-grams one longer, counted by their suffix
-        levels[k] = stored(levels[k + 1].select(suffix(F.col("gram"), k).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+        levels[k] = stored(levels[k + 1].select(suffix(F.col("gram"), k).alias("gram"), "lo", "hi").groupBy("gram").agg(
+            F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        ))
     arrays: list[Arrays] = []
     lower = None
     for k in range(1, ORDER + 1):
@@ -177,13 +192,14 @@ def model(docs: DataFrame, slots: int = SLOTS) -> list[Arrays]:
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
         total = counts.agg(F.sum("n")).first()[0] or 0
         least = max(1, -(-total // slots))
+        held = (F.col("n") >= least) & (F.col("lo") < F.col("hi")) if others else F.col("n") >= least
         context = F.shiftright("gram", 8)
         weighed = counts.withColumn("context", context).withColumn("mass", n - cut)
         contexts = weighed.groupBy("context").agg(
-            F.sum("n").alias("all"), F.sum(F.when(n >= least, F.col("mass")).otherwise(0.0)).alias("kept")
+            F.sum("n").alias("all"), F.sum(F.when(held, F.col("mass")).otherwise(0.0)).alias("kept")
         ).where("kept > 0").select("context", "all", (1 - F.col("kept") / F.col("all")).alias("gamma"))
         contexts = stored(contexts)
-        kept = weighed.where(n >= least).join(contexts, "context").select(
+        kept = weighed.where(held).join(contexts, "context").select(
             "gram", (F.col("mass") / F.col("all")).alias("alpha"), "gamma"
         )
         if lower is None:
@@ -295,7 +311,7 @@ def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: fl
     passage stay. A NULL language has bands of its own, and so has each other value of ``lang``. Empty and NULL texts have
     no words and fail the base rules. Repeated rows come back repeated. Other columns are not read.
     """
-    rows = stored(measured(docs, model(docs, slots)).withColumn(
+    rows = stored(measured(docs, model(docs, slots, others=True)).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ))
     quartile = lambda q: F.percentile_approx("log_ppl", q, 1000)

@@ -102,6 +102,25 @@ def test_model_bounded(spark):
     assert np.exp(perplexity.log_probabilities(arrays, every)).sum() == pytest.approx(1, abs=0.05)
 
 
+def test_all_texts_teach(spark):
+    """Texts rich in symbols teach the model too, so a language that is made of them is kept."""
+    rows = [(i, prose(i, 80 + i), "en") for i in range(30)]
+    rows += [(100 + i, " ".join(f"<{w}>$|{w}" for w in prose(100 + i, 60 + i).split()), "en" if i < 3 else "tab") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {r.gram: (r.n, r.lo == r.hi) for r in perplexity.counted(docs.unionByName(docs.limit(1))).collect()}
+    want, texts = Counter(), defaultdict(set)
+    for _, t, _ in [*rows, rows[0]]:
+        raw = b"\0" * 4 + t.encode()
+        for i in range(len(raw) - 4):
+            gram = int.from_bytes(raw[i : i + 5], "big")
+            want[gram] += 1
+            texts[gram].add(t)
+    assert counts == {g: (n, len(texts[g]) == 1) for g, n in want.items()}
+    found = {r.doc_id: r for r in perplexity.judged(docs).collect()}
+    assert all(found[100 + i].kept for i in range(3, 30))
+    assert max(found[100 + i].log_ppl for i in range(3, 30)) < 2
+
+
 def test_pieces_meet(monkeypatch):
     texts = [prose(i, 40).encode() for i in range(6)] + [b"", b"ab"]
     values = np.frombuffer(b"".join(texts), np.uint8)
