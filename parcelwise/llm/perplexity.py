@@ -7,19 +7,21 @@ Probabilities are interpolated by joins on suffix and context. The finished mode
 sorted hash arrays (hash, log probability, back-off weight) with an index on the leading hash bits.
 No text makes itself look usual: what it alone holds is unseen when it is judged, copies of it included.
 
-Size: an order keeps the n-grams with a count of at least total / ``slots``, so it has at most
-``slots`` n-grams and as many contexts whatever the corpus; what is left out is reached by back-off,
-whose weights take account of it. With the default that is at most 2 ** 23 * 16 bytes an order.
+Size: no order is cut; the model grows with the corpus. It is dealt by n-gram into parts of about
+``slots`` entries, which pass through the driver one at a time. A task scores a slice of texts by
+passes over the parts, of which it holds one at a time where an order has several.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,12 @@ def grams(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return packed
 
 
-def pieces(values: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """``grams`` of a batch in pieces of bounded size; a piece may start within a text."""
-    for start in range(0, len(values), PIECE):
+def pieces(values: np.ndarray, offsets: np.ndarray, size: int | None = None) -> Iterator[np.ndarray]:
+    """``grams`` of a batch in pieces of ``size`` bytes, or ``PIECE``; a piece may start within a text."""
+    size = size or PIECE
+    for start in range(0, len(values), size):
         first = max(0, start - ORDER + 1)
-        end = min(len(values), start + PIECE)
+        end = min(len(values), start + size)
         inner = offsets[(offsets > first) & (offsets < end)]
         cut = np.concatenate([[first], inner, [end]]) - first
         packed = grams(values[first:end], cut)[start - first :]
@@ -169,9 +172,61 @@ class Arrays:
             step += 1
         return found
 
+    def take(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability, or NaN, and log of the back-off weight, 0 if there is none."""
+        at = self.find(grams_)
+        if not len(self.hashes):
+            return np.full(len(at), np.nan, np.float32), np.zeros(len(at), np.float32)
+        return np.where(at >= 0, self.logp[at], np.float32(np.nan)), np.where(at >= 0, self.backoff[at], np.float32(0))
+
+
+@dataclass
+class Parts:
+    """One order, dealt into arrays that the executors fetch: the arrays of part i hold the n-grams that leave i over."""
+
+    arrays: list[Broadcast]
+    unseen: float
+
+    def take(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.arrays) == 1:
+            return self.arrays[0].value.take(grams_)
+        logp, backoff = np.empty(len(grams_), np.float32), np.empty(len(grams_), np.float32)
+        part = grams_ % np.uint64(len(self.arrays))
+        for i, shared in enumerate(self.arrays):
+            at = np.flatnonzero(part == i)
+            if len(at):
+                logp[at], backoff[at] = shared.value.take(grams_[at])
+                vars(shared).pop("_value", None)  # one part at a time; it is read again from the executor's copy
+        return logp, backoff
+
+
+def model(docs: DataFrame, slots: int = SLOTS) -> list[Arrays]:
+    """The arrays of orders 1 to 5, in one piece: an order keeps the n-grams with a count of at least
+    total / ``slots``, and back-off reaches the others. ``judged`` takes the whole model, in parts."""
+    orders = list(estimated(docs, slots))
+    arrays = [collected(entries) for entries, _ in orders]
+    arrays[0].unseen += orders[0][1]
+    return arrays
 
-def model(docs: DataFrame, slots: int = SLOTS, others: bool = False) -> list[Arrays]:
-    """The arrays of orders 1 to 5.
+
+def whole_model(docs: DataFrame, slots: int = SLOTS) -> list[Parts]:
+    """Orders 1 to 5 with all their n-grams, in parts of about ``slots`` entries."""
+    context = docs.sparkSession.sparkContext
+    orders = []
+    for entries, unseen in estimated(docs, None, others=True):
+        entries = stored(entries)
+        parts = -(-entries.count() // slots) or 1
+        while gcd(parts, 2 * 255) > 1:  # 256 leaves 1 over if divided by a factor of 255: bytes would be added up
+            parts += 1
+        if parts > 1:
+            entries = stored(entries.withColumn("part", F.col("gram") % parts).repartition("part").sortWithinPartitions("part"))
+        chosen = (entries.where(F.col("part") == i) if parts > 1 else entries for i in range(parts))
+        orders.append(Parts([context.broadcast(collected(c)) for c in chosen], -float(np.log(256)) + unseen))
+    return orders
+
+
+def estimated(docs: DataFrame, slots: int | None, others: bool = False) -> Iterator[tuple[DataFrame, float]]:
+    """(gram, p, gamma) of the orders 1 to 5, and what the cost of an unseen byte gains from the root.
 
     With ``others``, an n-gram that a single text holds is counted, but its mass goes to the back-off:
     no other text can ask for it, and that text is judged by what the others teach.
@@ -183,15 +238,14 @@ def model(docs: DataFrame, slots: int = SLOTS, others: bool = False) -> list[Arr
         levels[k] = stored(levels[k + 1].select(suffix(F.col("gram"), k).alias("gram"), "lo", "hi").groupBy("gram").agg(
             F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
         ))
-    arrays: list[Arrays] = []
-    lower = None
+    lower, bonus = None, 0.0
     for k in range(1, ORDER + 1):
         counts = levels[k]
         d1, d2, d3 = discounts(counts)
         n = F.col("n")
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
         total = counts.agg(F.sum("n")).first()[0] or 0
-        least = max(1, -(-total // slots))
+        least = max(1, -(-total // slots)) if slots else 1
         held = (F.col("n") >= least) & (F.col("lo") < F.col("hi")) if others else F.col("n") >= least
         context = F.shiftright("gram", 8)
         weighed = counts.withColumn("context", context).withColumn("mass", n - cut)
@@ -204,6 +258,7 @@ def model(docs: DataFrame, slots: int = SLOTS, others: bool = False) -> list[Arr
         )
         if lower is None:
             root = contexts.first()
+            bonus = float(np.log(max(root["gamma"], 1e-9))) if root else 0.0
             probability = kept.select("gram", (F.col("alpha") + F.col("gamma") / 256).alias("p"))
         else:
             below = lower.select(F.col("gram").alias("end"), F.col("p").alias("q"))
@@ -215,38 +270,33 @@ def model(docs: DataFrame, slots: int = SLOTS, others: bool = False) -> list[Arr
         if k > 1:
             # the back-off weight of a context is stored with the n-gram one shorter, if there is one
             weights = contexts.select(F.col("context").alias("gram"), "gamma")
-            arrays.append(collected(previous.join(weights, "gram", "full")))
+            yield previous.join(weights, "gram", "full"), bonus
         previous = lower
-    arrays.append(collected(previous.withColumn("gamma", F.lit(1.0))))
-    if root:
-        arrays[0].unseen += float(np.log(max(root["gamma"], 1e-9)))
-    return arrays
+    yield previous.withColumn("gamma", F.lit(1.0)), bonus
 
 
 def collected(entries: DataFrame) -> Arrays:
-    """At most ``slots`` n-grams by the cut-off on counts, and as many contexts; NaN for what an entry lacks."""
+    """The arrays of some entries; NaN for what an entry lacks."""
     rows = entries.select("gram", F.coalesce(F.log("p"), F.lit(float("nan"))).alias("p"), F.log(F.coalesce(F.greatest("gamma", F.lit(1e-9)), F.lit(1.0))).alias("g")).toArrow()
     return Arrays.of(*(rows.column(i).to_numpy() for i in range(3)))
 
 
-def log_probabilities(arrays: list[Arrays], packed: np.ndarray) -> np.ndarray:
+def log_probabilities(orders: list[Arrays] | list[Parts], packed: np.ndarray) -> np.ndarray:
     """Natural log of the probability of the last byte of each packed n-gram."""
     result = np.zeros(len(packed), np.float64)
     rest = np.arange(len(packed))
     for k in range(ORDER, 0, -1):
         here = packed[rest] & np.uint64((1 << (8 * k)) - 1)
-        at = arrays[k - 1].find(here)
-        known = (at >= 0) & ~np.isnan(arrays[k - 1].logp[at]) if len(arrays[k - 1].logp) else at >= 0
-        result[rest[known]] += arrays[k - 1].logp[at[known]]
+        logp, _ = orders[k - 1].take(here)
+        known = ~np.isnan(logp)
+        result[rest[known]] += logp[known]
         rest, here = rest[~known], here[~known]
         if not len(rest):
             break
         if k > 1:
-            context = arrays[k - 2].find(here >> np.uint64(8))
-            seen = context >= 0
-            result[rest[seen]] += arrays[k - 2].backoff[context[seen]]
+            result[rest] += orders[k - 2].take(here >> np.uint64(8))[1]
         else:
-            result[rest] += arrays[0].unseen
+            result[rest] += orders[0].unseen
     return result
 
 
@@ -276,17 +326,18 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, arrays: list[Arrays]) -> DataFrame:
+def measured(docs: DataFrame, orders: list[Parts]) -> DataFrame:
     """doc_id, lang, the base counts and log_ppl, the mean negative log probability of a byte, each ``WORST`` at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
+    # each piece passes over all parts, so fewer and longer pieces where there are many
+    piece, slice_ = (8 * PIECE, 8 * PIECE) if max(len(o.arrays) for o in orders) > 1 else (PIECE, 4 * PIECE)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((m, pa.int64()) for m in MEASURES), ("log_ppl", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, slice_):
             values, offsets = byte_view(batch.column(2))
             total, at = np.zeros(batch.num_rows), 0
-            for packed in pieces(values, offsets):
-                costs = np.maximum(log_probabilities(shared.value, packed), -WORST)
+            for packed in pieces(values, offsets, piece):
+                costs = np.maximum(log_probabilities(orders, packed), -WORST)
                 running = np.concatenate([[0.0], np.cumsum(costs)])
                 ends = np.clip(offsets - at, 0, len(packed))
                 total += running[ends[1:]] - running[ends[:-1]]
@@ -311,7 +362,7 @@ def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: fl
     passage stay. A NULL language has bands of its own, and so has each other value of ``lang``. Empty and NULL texts have
     no words and fail the base rules. Repeated rows come back repeated. Other columns are not read.
     """
-    rows = stored(measured(docs, model(docs, slots, others=True)).withColumn(
+    rows = stored(measured(docs, whole_model(docs, slots)).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ))
     quartile = lambda q: F.percentile_approx("log_ppl", q, 1000)

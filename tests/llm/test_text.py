@@ -121,6 +121,14 @@ def test_all_texts_teach(spark):
     assert max(found[100 + i].log_ppl for i in range(3, 30)) < 2
 
 
+def test_judged_by_whole_model(spark):
+    """Parts hold what one array holds: nothing is left out, so the size of the parts changes no figure."""
+    rows = [(i, prose(i, 80 + i), "en") for i in range(20)] + [(100 + i, "ñé日本 " * i + prose(i, 60), "xx") for i in range(4)]
+    docs = spark.createDataFrame([*rows, *rows], "doc_id long, text string, lang string")
+    whole, parts = (sorted((r.doc_id, round(r.log_ppl, 6), r.kept) for r in perplexity.judged(docs, slots=n).collect()) for n in (1 << 22, 150))
+    assert whole == parts
+
+
 def test_pieces_meet(monkeypatch):
     texts = [prose(i, 40).encode() for i in range(6)] + [b"", b"ab"]
     values = np.frombuffer(b"".join(texts), np.uint8)
