@@ -1,7 +1,8 @@
 """The registered queries of this package and the SQL that DuckDB can hold them against.
 
-SQL is given for the URL filters and the mixing, whose rates it takes as quotients. The other operators fit a model, use a tokenizer or
-a hash that DuckDB lacks, or iterate; tests hold them against brute force.
+SQL is given for the URL filters, the mixing, whose rates it takes as quotients, and the clustering, whose
+rounds it writes out. The other operators fit a model, use a tokenizer or a hash that DuckDB lacks, or
+iterate; tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from parcelwise.llm import (
     tool_calls,
     toxicity,
     url_filters,
+    walsh_clusters,
 )
 from parcelwise.llm.common import table
 
@@ -124,9 +126,13 @@ def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.judged(table(spark, folder, "documents"))
 
 
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return walsh_clusters.clustered(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_quality, op3_decontamination, op4_token_counts, op5_html, op6_toxicity, op7_mixing, op8_simhash,
-    op9_tool_calls, op10_perplexity,
+    op9_tool_calls, op10_perplexity, op12_clusters,
 )}
 
 _HOST = url_filters.HOST
@@ -243,4 +249,39 @@ select doc_id, size, source_size, target, cast(scaled as double) / {mixing.UNIT}
 from joined j join best b on j.source is not distinct from b.source
 """
 
-ORACLES = {"op1_url_filters": OP1_SQL, "op7_mixing": OP7_SQL}
+
+
+def _round(n: int) -> str:
+    """Vectors to their nearest centroid, and the centroids that follow from it."""
+    return f"""
+nearest{n} as materialized (
+  select rid, c, distance from (
+    select rid, c, distance, row_number() over (partition by rid order by distance, c) as k from (
+      select k.rid, c.c, cast(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) as bigint) as distance
+      from kept k, centres{n} c)) where k = 1
+), sums{n} as (
+  select c, i, cast(sum(x) as bigint) as s, count(*) as n from (
+    select a.c, unnest(k.v) as x, unnest(range(1, 65)) as i from kept k join nearest{n} a on k.rid = a.rid) group by c, i
+), centres{n + 1} as materialized (
+  select o.c, coalesce(m.v, o.v) as v from centres{n} o
+  left join (select c, list((s - ((s % n) + n) % n) // n order by i) as v from sums{n} group by c) m on o.c = m.c
+)"""
+
+
+_LAST = walsh_clusters.ROUNDS
+OP12_SQL = f"""
+with kept as materialized (
+  select row_number() over () as rid, vec_id,
+    list_transform(embedding, lambda x: cast(floor({walsh_clusters.SCALE} * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), centres0 as materialized (
+  select c, v from (select row_number() over (order by sha256('{walsh_clusters.SEED}:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c, v from kept)
+  where c < {walsh_clusters.CLUSTERS}
+), {",".join(_round(n) for n in range(_LAST + 1))}
+select k.vec_id, cast(a.c as int) as cluster, a.distance, cast(sum(a.distance) over (partition by a.c) as bigint) as cluster_inertia,
+  cast(sum(a.distance) over () as bigint) as inertia,
+  sha256(array_to_string(list_transform(o.v, lambda x: cast(x as varchar)), ',')) as centroid_sha256
+from kept k join nearest{_LAST} a on k.rid = a.rid join centres{_LAST} o on a.c = o.c
+"""
+
+ORACLES = {"op1_url_filters": OP1_SQL, "op7_mixing": OP7_SQL, "op12_clusters": OP12_SQL}
