@@ -1,7 +1,7 @@
 """The registered queries of this package and the SQL that DuckDB can hold them against.
 
-SQL is given for the URL filters, the mixing, whose rates it takes as quotients, and the clustering, whose
-rounds it writes out. The other operators fit a model, use a tokenizer or a hash that DuckDB lacks, or
+SQL is given for the URL filters, the mixing, whose rates it takes as quotients, the source audit, and the
+clustering, whose rounds it writes out. The other operators fit a model, use a tokenizer or a hash that DuckDB lacks, or
 iterate; tests hold them against brute force.
 """
 
@@ -17,6 +17,7 @@ from parcelwise.llm import (
     perplexity,
     quality_nbsvm,
     simhash,
+    source_divergence,
     token_histogram,
     tool_calls,
     toxicity,
@@ -126,13 +127,17 @@ def op10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.judged(table(spark, folder, "documents"))
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audited(table(spark, folder, "documents"))
+
+
 def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return walsh_clusters.clustered(table(spark, folder, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_quality, op3_decontamination, op4_token_counts, op5_html, op6_toxicity, op7_mixing, op8_simhash,
-    op9_tool_calls, op10_perplexity, op12_clusters,
+    op9_tool_calls, op10_perplexity, op11_divergence, op12_clusters,
 )}
 
 _HOST = url_filters.HOST
@@ -250,6 +255,39 @@ from joined j join best b on j.source is not distinct from b.source
 """
 
 
+OP11_SQL = rf"""
+with docs as (
+  select row_number() over () as rid, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents
+), words as materialized (
+  select rid, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+), kept as materialized (
+  select lang, term, count(*) as n from words group by lang, term having count(distinct rid) >= {source_divergence.LEAST_DOCS}
+), langs as (
+  select lang, cast(count(*) as bigint) as v, cast(sum(n) as bigint) as total from kept group by lang
+), sources as (select distinct lang, source from docs),
+counted as (
+  select w.lang, w.source, w.term, count(*) as c from words w semi join kept k on w.lang = k.lang and w.term = k.term group by all
+), shares as materialized (
+  select lang, source, term, c, 1 + ({source_divergence.UNIT} * (c + 1)) // (cast(sum(c) over (partition by lang, source) as bigint) + v) as p,
+    1 + ({source_divergence.UNIT} * (n + 1)) // (total + v) as q
+  from (select s.lang, s.source, k.term, k.n, l.v, l.total, coalesce(d.c, 0) as c from sources s join kept k on s.lang = k.lang
+    join langs l on s.lang = l.lang left join counted d on d.lang = s.lang and d.source = s.source and d.term = k.term)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(p.value, 0) as bigint) as value
+  from sources a join sources b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from shares where c > 0 and p > q
+)
+select * from (
+  select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from found)
+where part = 'pair' or rank <= {source_divergence.TOP}
+"""
+
 
 def _round(n: int) -> str:
     """Vectors to their nearest centroid, and the centroids that follow from it."""
@@ -284,4 +322,4 @@ select k.vec_id, cast(a.c as int) as cluster, a.distance, cast(sum(a.distance) o
 from kept k join nearest{_LAST} a on k.rid = a.rid join centres{_LAST} o on a.c = o.c
 """
 
-ORACLES = {"op1_url_filters": OP1_SQL, "op7_mixing": OP7_SQL, "op12_clusters": OP12_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op7_mixing": OP7_SQL, "op11_divergence": OP11_SQL, "op12_clusters": OP12_SQL}
