@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parcelwise.llm import (
     decontamination,
     html_extraction,
+    license_scan,
     mixing,
     perplexity,
     quality_nbsvm,
@@ -135,9 +136,15 @@ def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return walsh_clusters.clustered(table(spark, folder, "embeddings"))
 
 
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scanned(table(spark, folder, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined).drop("spans")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_quality, op3_decontamination, op4_token_counts, op5_html, op6_toxicity, op7_mixing, op8_simhash,
-    op9_tool_calls, op10_perplexity, op11_divergence, op12_clusters,
+    op9_tool_calls, op10_perplexity, op11_divergence, op12_clusters, op13_licenses,
 )}
 
 _HOST = url_filters.HOST
