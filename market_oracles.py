@@ -1129,6 +1129,29 @@ def firm_zones(strict: bool = True) -> str:
     )
 
 
+def curve(rows: str, keys: str, first, last, step: str) -> str:
+    """Every listing tested on every day shown."""
+    same = " and ".join(f"a.{k} = h.{k}" for k in keys.split(", "))
+    return f"""with src as ({rows}),
+days as (select unnest(generate_series(date '{first}', date '{last}', interval 1 day)) as ts),
+every_day as (select cast(ts as date) as d from days),
+hits as (select {keys}, d, count(*) as n from src join every_day on {on_market('d')} group by {keys}, d),
+places as (select distinct {keys} from hits)
+select {", ".join(f"a.{k}" for k in keys.split(", "))}, e.d as Day, coalesce(h.n, 0) as ActiveListings
+from places a cross join every_day e left join hits h on {same} and h.d = e.d
+where cast(date_trunc('{step}', e.d) as date) = e.d"""
+
+
+def area_curve() -> str:
+    columns = "l.standard_status, l.list_date, l.close_date, l.status_date"
+    return curve(area_union(QUARTERLY_AREAS, columns), "Area", *Q.CURVE_DAYS, "day")
+
+
+def county_curve() -> str:
+    rows = county_work("l.*", "'Residential', 'Land'", Q.TRI, Q.FOURTH)
+    return curve(f"select *, {CLASS} as PropertyType from ({rows}) w", "County, PropertyType", *Q.CURVE_MONTHS, "month")
+
+
 def area_yoy() -> str:
     def change(column: str) -> str:
         whole = "coalesce(round_even(cast({0}.{1} as double), 0), 0)"
@@ -1198,6 +1221,8 @@ OPERATORS |= {
 }
 
 REPORTS = {
+    "inventory_curve": typed(area_curve(), "Area:s Day:s ActiveListings:i"),
+    "inventory_months": typed(county_curve(), "County:s PropertyType:s Day:s ActiveListings:i"),
     "rpt_market_area": typed(
         market_area(),
         "Area:s Qtr:i Yr:i price_per_foot:r sales_volume:d sales_count:i avg_sale:d MedianPrice:d "

@@ -41,6 +41,8 @@ SCOPE = P.CountyScope(counties=TRI, state=None, fourth=FOURTH)
 SCOPE_BANDS = P.CountyScope(counties=("NATION_1", "NATION_5", "NATION_10"), state=None, fourth=FOURTH)
 SHARE_SCOPE = P.CountyScope(counties=TRI, sources=(1,), fourth=FOURTH)
 QUARTERS = ((1999, 2), (2000, 2))
+CURVE_DAYS = (date(1999, 12, 15), date(2000, 7, 1))
+CURVE_MONTHS = (date(1995, 1, 1), date(2000, 12, 31))
 AREA_RULES = P.AreaRules(K.AREA_LABELS, PA.quarterly_overlays(TRI))
 SUPPLY_RULES = P.AreaRules.supply()
 
@@ -525,6 +527,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t, ranking_frame(), OWN_PREFIX, strict_parity=False
     ),
     "rpt_county_level_quarters": lambda t: P.county_level(t, SCOPE, QUARTERS),
+    "inventory_curve": lambda t: P.area_inventory(t, *CURVE_DAYS, AREA_RULES),
+    "inventory_months": lambda t: P.county_inventory(t, *CURVE_MONTHS, SCOPE),
     "view_area_yoy": lambda t: P.area_yoy(
         P.market_area(t, EVAL, PY_EVAL, AS_OF, AREA_RULES, QUARTERS), 2000, 2
     ),
