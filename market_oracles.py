@@ -1268,6 +1268,9 @@ where property_sub_type in ({quoted(Q.SUBTYPES.split(','))})""",
     "rpt_county_level": typed(
         sales("PropertyType, County", COUNTY_SALES), "PropertyType:s County:s " + SALES_SPEC
     ),
+    "rpt_county_level_stored": typed(
+        sales("PropertyType, County", COUNTY_SALES), "PropertyType:s County:s " + SALES_SPEC
+    ),
     "rpt_county_class_corrected": typed(county_class(False), "PropertyType:s County:s " + _county_spec(True)),
     "rpt_county_all_corrected": typed(county_all(False), "County:s " + _county_spec(False)),
     "rpt_share_company_corrected": typed(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Mapping
 from datetime import date
@@ -18,8 +19,10 @@ from parcelwise.operators import joins as J
 from parcelwise.operators import ranking as R
 from parcelwise.operators import statistics as S
 from parcelwise.plans import counties as PC
+from parcelwise.plans import facts as PF
 from parcelwise.plans import market_areas as PA
 from parcelwise.plans import views as PV
+from parcelwise.sources import facts as store
 from parcelwise.sources.tables import LISTING_KEYS
 
 Tables = Mapping[str, DataFrame]
@@ -498,6 +501,18 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "date_frame_labels": date_frame_labels,
 }
 
+def facts_refreshed(t: Tables) -> DataFrame:
+    """The quarterly county report from a store in which two quarters came late and were refreshed."""
+    spark, listings = t["listings"].sparkSession, t["listings"]
+    late = C.in_quarters("close_date", QUARTERS) & (F.col("listing_key") % 3 == 0)
+    before = {**{name: t[name] for name in ("listings_geo", "county_names", "county_by_region")}}
+    before["listings"] = listings.where(~F.coalesce(late, F.lit(False)))
+    path = f"{store.shared_folder(spark)}/facts-{hashlib.md5(t.sf_dir.encode()).hexdigest()}"
+    PF.save(PF.county_facts(before, SCOPE), path)
+    PF.refresh(PF.county_facts(t, SCOPE), path, QUARTERS)
+    return PF.county_level_from(store.stored_facts(spark, path))
+
+
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "rpt_market_area": lambda t: P.market_area(t, EVAL, PY_EVAL, AS_OF, AREA_RULES),
     "rpt_price_range_area": lambda t: P.price_range_area(
@@ -527,6 +542,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t, ranking_frame(), OWN_PREFIX, strict_parity=False
     ),
     "rpt_county_level_quarters": lambda t: P.county_level(t, SCOPE, QUARTERS),
+    "rpt_county_level_stored": facts_refreshed,
     "inventory_curve": lambda t: P.area_inventory(t, *CURVE_DAYS, AREA_RULES),
     "inventory_months": lambda t: P.county_inventory(t, *CURVE_MONTHS, SCOPE),
     "view_area_yoy": lambda t: P.area_yoy(

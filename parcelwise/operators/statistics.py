@@ -159,7 +159,11 @@ def sales_stats(
 
     Groups without a counted row are left out. ``never_null`` as in ``exact_median``.
     """
-    hist = sales_histogram(sale_measures(sales), keys, counted)
+    return stats_of(sales_histogram(sale_measures(sales), keys, counted), keys, never_null)
+
+
+def stats_of(hist: DataFrame, keys: Sequence[str], never_null: Sequence[str] = ()) -> DataFrame:
+    """The same from a histogram by ``keys`` or finer ones."""
     stats = exact_median(hist, keys, SALES_SUMS, never_null=never_null)
     return stats.where("sales_count > 0").select(*keys, *sales_columns())
 

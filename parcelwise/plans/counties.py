@@ -303,14 +303,19 @@ def county_level(
     t: Tables, scope: CountyScope | None = None, quarters: S.Quarters = None
 ) -> DataFrame:
     """Sales by county, property class, quarter and year."""
+    rows = county_sales(t, scope or CountyScope(), quarters)
+    return S.sales_stats(rows, ["PropertyType", "County", *S.QUARTER], never_null=S.QUARTER)
+
+
+def county_sales(t: Tables, scope: CountyScope, quarters: S.Quarters = None) -> DataFrame:
+    """Closed listings of the counties with county, property class and quarter."""
     listings = t["listings"].where(
         F.col("close_date").isNotNull()
         & C.in_quarters("close_date", quarters)
         & F.col("property_type").isin("Residential", "Land")
     )
-    rows = county_rows(listings, t, scope or CountyScope())
-    rows = S.by_close_quarter(rows.withColumn("PropertyType", C.property_class()))
-    return S.sales_stats(rows, ["PropertyType", "County", *S.QUARTER], never_null=S.QUARTER)
+    rows = county_rows(listings, t, scope)
+    return S.by_close_quarter(rows.withColumn("PropertyType", C.property_class()))
 
 
 def price_range_county(
