@@ -736,9 +736,7 @@ select {columns}, cn.county as County from listings l {GEO} {NAMES}
 where l.source_system_id = 10 and cn.county = '{fourth}' and l.property_type in ({types})"""
 
 
-def price_range_county() -> str:
-    scope = Q.SCOPE_BANDS
-
+def price_range_county(scope=Q.SCOPE_BANDS) -> str:
     def inv(d: str) -> str:
         return f"""select County, b, count(*) as total_listings from cte
 where {on_market(d)} group by County, b"""
@@ -1236,6 +1234,14 @@ REPORTS = {
     "rpt_price_range_county": typed(
         price_range_county(), f"Yr:i county:s listpricebucket:s {_BAND_SPEC}"
     ),
+    "suite_county_class": typed(county_class(), "PropertyType:s County:s " + _county_spec(True)),
+    "suite_county_all": typed(county_all(), "County:s " + _county_spec(False)),
+    "suite_county_level": typed(
+        sales("PropertyType, County", COUNTY_SALES), "PropertyType:s County:s " + SALES_SPEC
+    ),
+    "suite_price_range_county": typed(
+        price_range_county(Q.SCOPE), f"Yr:i county:s listpricebucket:s {_BAND_SPEC}"
+    ),
     "rpt_county_class": typed(county_class(), "PropertyType:s County:s " + _county_spec(True)),
     "rpt_county_all": typed(county_all(), "County:s " + _county_spec(False)),
     "rpt_custom_geo": typed(custom_geo(), "custom_geo:s " + SALES_SPEC),

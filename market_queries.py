@@ -21,6 +21,7 @@ from parcelwise.operators import statistics as S
 from parcelwise.plans import counties as PC
 from parcelwise.plans import facts as PF
 from parcelwise.plans import market_areas as PA
+from parcelwise.plans import suite as PS
 from parcelwise.plans import views as PV
 from parcelwise.sources import facts as store
 from parcelwise.sources.tables import LISTING_KEYS
@@ -42,6 +43,7 @@ OWN_PREFIX = "are"
 SHARE_FIRST_YEAR = 1997
 SCOPE = P.CountyScope(counties=TRI, state=None, fourth=FOURTH)
 SCOPE_BANDS = P.CountyScope(counties=("NATION_1", "NATION_5", "NATION_10"), state=None, fourth=FOURTH)
+SUITE = PS.Suite(EVAL, AS_OF, SCOPE, K.BREAKS_5)
 SHARE_SCOPE = P.CountyScope(counties=TRI, sources=(1,), fourth=FOURTH)
 QUARTERS = ((1999, 2), (2000, 2))
 CURVE_DAYS = (date(1999, 12, 15), date(2000, 7, 1))
@@ -543,6 +545,10 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "rpt_county_level_quarters": lambda t: P.county_level(t, SCOPE, QUARTERS),
     "rpt_county_level_stored": facts_refreshed,
+    "suite_county_class": lambda t: SUITE.county_class(SUITE.stage(t)),
+    "suite_county_all": lambda t: SUITE.county_all(SUITE.stage(t)),
+    "suite_county_level": lambda t: SUITE.county_level(SUITE.stage(t)),
+    "suite_price_range_county": lambda t: SUITE.price_range_county(SUITE.stage(t)),
     "inventory_curve": lambda t: P.area_inventory(t, *CURVE_DAYS, AREA_RULES),
     "inventory_months": lambda t: P.county_inventory(t, *CURVE_MONTHS, SCOPE),
     "view_area_yoy": lambda t: P.area_yoy(

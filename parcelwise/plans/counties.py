@@ -208,6 +208,11 @@ def county_class(
     divide by the prior year's sold count, and sales are not limited by source.
     """
     hist = county_histogram(t, eval_date, scope or CountyScope(), strict_parity, with_class=True)
+    return class_report(hist, strict_parity)
+
+
+def class_report(hist: DataFrame, strict_parity: bool) -> DataFrame:
+    """``county_class`` from its histogram."""
     wide = side_by_side(
         hist,
         {
@@ -263,9 +268,14 @@ def county_all(
     With ``strict_parity`` the three-county price per foot is the county's own, and the
     current three-county months of supply divide by the prior year's sold count.
     """
-    hist = county_histogram(t, eval_date, scope or CountyScope(), strict_parity, with_class=False)
+    scope = scope or CountyScope()
+    hist = county_histogram(t, eval_date, scope, strict_parity, with_class=False)
+    return all_report(hist, scope.fourth, strict_parity)
+
+
+def all_report(hist: DataFrame, fourth: str, strict_parity: bool) -> DataFrame:
+    """``county_all`` from its histogram."""
     wide = side_by_side(hist, {"county": ["County"], "all": []})
-    fourth = (scope or CountyScope()).fourth
     out = with_coarser(wide, {"all": []}).where(
         "grain = 'county' and (cy_sales_count > 0 or py_sales_count > 0)"
     )
@@ -345,7 +355,11 @@ def price_range_county(
     rows = county_rows(listings, t, scope).where(scope.covered())
     rows = rows.withColumn("band", C.price_band("list_price", breaks, null_band=len(breaks) + 1))
     wide = band_sums(rows.withColumnRenamed("County", "county"), ["county", "band"], tests)
-    years = {tag: F.year(end) for tag, end in ends.items()}
+    return band_report(wide, {tag: F.year(end) for tag, end in ends.items()}, breaks)
+
+
+def band_report(wide: DataFrame, years: Mapping[str, Column], breaks: Sequence[int]) -> DataFrame:
+    """``price_range_county`` from the sums by county and band."""
     found = year_rows(wide, years, list(BAND_MEASURES)).where(
         "inventory > 0 and sold > 0 and quarter_n > 0"
     )
