@@ -199,10 +199,9 @@ def densify_cross(t: Tables) -> DataFrame:
 
 
 def anti_join(t: Tables) -> DataFrame:
-    sold = closed_by_town(t).select("municipality", "Qtr", "Yr").distinct()
-    grid = J.dense_grid(t["listings_geo"], sold, "municipality", ["Qtr", "Yr"])
-    condos = closed_by_town(t).where("property_sub_type = 'Condominium'")
-    return grid.join(condos, ["municipality", "Qtr", "Yr"], "left_anti")
+    condos = F.count_if(F.col("property_sub_type") == "Condominium").alias("condos")
+    sold = closed_by_town(t).groupBy("municipality", "Qtr", "Yr").agg(condos)
+    return J.cells_without(t["listings_geo"], sold, "municipality", ["Qtr", "Yr"], "condos")
 
 
 def share_of_total(t: Tables) -> DataFrame:

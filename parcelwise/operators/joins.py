@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import LISTING_KEYS
@@ -35,56 +35,59 @@ def keep_listed(df: DataFrame, column: str, parameter: str) -> DataFrame:
     return df.where(F.array_contains(F.split(F.lit(parameter), ","), F.col(column)))
 
 
+#: Parts that the members of a grid are dealt into.
+GRID_PARTS = 32
+
+
 def dense_grid(members: DataFrame, observed: DataFrame, member: str, periods: Sequence[str]) -> DataFrame:
-    """Every member with every observed period.
+    """Every member with every observed period, each pair once.
 
-    The distinct periods are one small array (there are four quarters in a year), which
-    each member explodes; no join of the two sides takes place. Periods must be few.
+    The distinct periods are copied to each of a fixed number of parts, and members meet them
+    in the part they are dealt to, so no task holds all members and no cross join takes place.
     """
-    slots = observed.select(*periods).distinct().select(F.collect_list(F.struct(*periods)).alias("slots"))
-    return (
-        members.select(member)
-        .distinct()
-        .withColumn("_slot", F.explode(slots.scalar()))
-        .select(member, *[F.col(f"_slot.{p}").alias(p) for p in periods])
-    )
+    parts = F.sequence(F.lit(0), F.lit(GRID_PARTS - 1)).cast("array<bigint>")
+    slots = observed.select(*periods).distinct().withColumn("_part", F.explode(parts))
+    part = F.pmod(F.xxhash64(member), F.lit(GRID_PARTS)).alias("_part")
+    return members.select(member).distinct().select(member, part).join(slots, "_part").drop("_part")
 
 
 def fill_grid(members: DataFrame, facts: DataFrame, member: str, periods: Sequence[str]) -> DataFrame:
     """Facts for every member and every period that some fact has; a cell without facts gets zeros.
 
-    Facts are gathered by member, one small array each, and the periods are those of all
-    members' arrays. ``facts`` is computed once: there is no second pass for the periods
-    and no join back. Members must be a dimension: one row each meets in the last step.
+    ``facts`` has a row for a cell at the most. It is shuffled by cell once; the distinct periods
+    and the join to the grid both read that shuffle, so what is behind it runs once.
     """
-    periods = list(periods)
-    values = [c for c in facts.columns if c not in (member, *periods)]
-    cells = facts.select(member, F.struct(*periods, *values).alias("_cell"))
-    kind = cells.schema["_cell"].dataType
-    rows = cells.unionByName(members.select(member, F.lit(None).cast(kind).alias("_cell")))
-    gathered = rows.groupBy(member).agg(F.collect_list("_cell").alias("_cells"))
-    own = F.transform("_cells", lambda c: F.struct(*[c[p].alias(p) for p in periods]))
-    slots = F.array_distinct(F.flatten(F.collect_list(own).over(Window.partitionBy())))
-    spread = gathered.withColumn("_slots", slots).withColumn("_slot", F.explode("_slots"))
-
-    def same(cell: Column) -> Column:
-        test = F.lit(True)
-        for p in periods:
-            test = test & cell[p].eqNullSafe(F.col("_slot")[p])
-        return test
-
-    found = spread.withColumn("_cell", F.get(F.filter("_cells", same), F.lit(0)))
-    seen = F.col("_cell").isNotNull()
+    cell = [member, *periods]
+    values = [c for c in facts.columns if c not in cell]
+    facts = facts.repartition(*cell)
+    # Both readers need the same columns, or Spark would plan two shuffles.
+    whole = F.max(F.struct(*facts.columns))
+    seen = facts.groupBy(*periods).agg(whole.alias("_whole")).where("_whole is not null")
+    named = {c: f"_{c}" for c in cell}
+    grid = dense_grid(members, seen, member, periods).withColumnsRenamed(named)
+    same = all_equal(F.col(new).eqNullSafe(F.col(old)) for old, new in named.items())
+    found = grid.join(facts.withColumn("_seen", F.lit(True)), same, "left")
     return found.select(
-        member,
-        *[F.col("_slot")[p].alias(p) for p in periods],
+        *[F.col(new).alias(old) for old, new in named.items()],
         *[
-            F.when(seen, F.col("_cell")[c]).otherwise(F.lit(0).cast(facts.schema[c].dataType)).alias(c)
+            F.when(F.col("_seen"), F.col(c)).otherwise(F.lit(0).cast(facts.schema[c].dataType)).alias(c)
             for c in values
         ],
     )
 
 
+def all_equal(tests: Iterable[Column]) -> Column:
+    out = F.lit(True)
+    for test in tests:
+        out = out & test
+    return out
+
+
+def cells_without(members: DataFrame, facts: DataFrame, member: str, periods: Sequence[str], count: str) -> DataFrame:
+    """Cells of the grid without a row that ``count`` counts: the anti join of the grid to those facts."""
+    return fill_grid(members, facts, member, periods).where(F.col(count) == 0).select(member, *periods)
+
+
 def region_weights(county_by_region: DataFrame, excluded_region: str | None) -> DataFrame:
     """Distinct regions per county: how often a join by region repeats a listing."""
     rows = county_by_region.select("region", "county").distinct()

@@ -211,8 +211,25 @@ def test_stored_listings_meet_their_geography_without_a_shuffle(spark, stored):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_no_cross_join_in_zero_filled_report(sample):
-    assert not re.search("CartesianProduct|NestedLoopJoin", executed(Q.REPORTS["rpt_custom_geo"](sample)))
+@pytest.mark.parametrize("query", [Q.REPORTS["rpt_custom_geo"], Q.OPERATORS["anti_join"]])
+def test_zero_filled_grid_reads_its_facts_once(sample, query):
+    plan = executed(query(sample))
+    assert not re.search("CartesianProduct|NestedLoopJoin|Exchange SinglePartition", plan)
+    # no window gathers all rows in one task: each has something to partition by
+    assert not re.search(r"windowspecdefinition\((specifiedwindowframe|\w+#\d+L? (ASC|DESC))", plan)
+    assert "ReusedExchange" in plan
+    assert len(re.findall(r"FileScan parquet \[[^\]]*\bo_totalprice|FileScan parquet \[[^\]]*\bo_orderpriority", plan)) == 1
+
+
+def test_grid_keeps_null_members_and_periods(spark):
+    members = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "m string")
+    facts = spark.createDataFrame([("a", 1, 5, 2.5), (None, 1, 7, None), ("z", None, 9, 1.0)], "m string, p int, n int, x double")
+    from parcelwise.operators.joins import cells_without, fill_grid
+
+    got = {tuple(r) for r in fill_grid(members, facts, "m", ["p"]).collect()}
+    assert got == {("a", 1, 5, 2.5), ("a", None, 0, 0.0), ("b", 1, 0, 0.0), ("b", None, 0, 0.0), (None, 1, 7, None), (None, None, 0, 0.0)}
+    assert {tuple(r) for r in cells_without(members, facts, "m", ["p"], "n").collect()} == {("a", None), ("b", 1), ("b", None), (None, None)}
+    assert fill_grid(members, facts.where("1 = 0"), "m", ["p"]).count() == 0
 
 
 def test_filters_reach_the_listing_scan(spark, sample, tmp_path):
