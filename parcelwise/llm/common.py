@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -120,9 +120,15 @@ def batch_of(schema: pa.Schema, **columns: Any) -> pa.RecordBatch:
     )
 
 
-def bounded_sample(labelled: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows at the most, chosen by a hash of ``key``: the same ones in every run."""
-    rows = labelled.count()
-    if rows <= most:
+def bounded_sample(labelled: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """All rows if there are no more than ``most``, else ``most`` different ones: the same in every run.
+
+    Rows are chosen one by one, by a hash of all ``columns``, so ids that repeat or are NULL neither
+    break the bound nor empty the sample. Of rows that agree in all ``columns`` one is enough.
+    """
+    hashed = labelled.withColumn("_hash", F.xxhash64(*columns, F.lit(7)))
+    first = hashed.groupBy("_hash").count().orderBy("_hash").limit(most)
+    found = first.agg(F.max("_hash").alias("last"), F.count("*").alias("n"), F.sum("count").alias("rows")).first()
+    if found.n == 0 or found.n < most and found.rows <= most:
         return labelled
-    return labelled.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / rows))
+    return hashed.where(F.col("_hash") <= found["last"]).dropDuplicates(["_hash"]).drop("_hash")

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,10 @@ from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, slices, s
 SAMPLE = 400
 FRAMES = 4
 
+# No part gives characters back once taken, and only quotes reach beyond the next "<", so the work stays linear.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:\s[^<>\"']*(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?)/?>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*+(?:\Z|(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*+)((?:\s(?:\"[^\"]*+\"|'[^']*+'|[^<>\"'])*+)?+)/?>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -62,7 +65,7 @@ NAMES = (
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "index", "text", "links", "stops", "tags", "paragraphs", "items", "controls", "headings", "start", "decides", "mark")
+    __slots__ = ("tag", "words", "parent", "children", "index", "text", "links", "stops", "tags", "paragraphs", "items", "controls", "headings", "start", "decides", "mark", "owner")
 
     def __init__(self, tag: str, words: list[str], parent: Node | None, start: int, mark: str = "") -> None:
         self.tag, self.words, self.parent, self.start, self.mark = tag, words, parent, start, mark
@@ -70,6 +73,8 @@ class Node:
         self.index = -1
         self.text = self.links = self.stops = self.tags = self.paragraphs = self.items = self.controls = self.headings = 0
         self.decides = tag not in INLINE or bool(words)
+        #: The node itself or the nearest ancestor that decides.
+        self.owner: Node | None = self if self.decides or parent is None else parent.owner
 
 
 def parsed(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -92,13 +97,15 @@ def parsed(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if any(x.tag == "a" for x in stack[-3:]):
                 top.links += n
 
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+
     def close(names: set[str] | frozenset[str], limit: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in limit:
-                return
+        """Close down to the innermost open element of ``names``, unless one of ``limit`` lies within it."""
+        innermost = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+        to = innermost(names)
+        if to and to >= innermost(limit):
+            while len(stack) > to:
+                places[stack.pop().tag].pop()
 
     for m in MARKUP.finditer(page):
         put(page[at : m.start()])
@@ -132,6 +139,7 @@ def parsed(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         node = Node(tag, words, stack[-1], chars, mark)
         stack[-1].children.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
+            places[tag].append(len(stack))
             stack.append(node)
     put(page[at:])
     return root, pieces
@@ -168,10 +176,7 @@ def summed(root: Node) -> list[Node]:
 
 def above(node: Node) -> Node | None:
     """The nearest deciding ancestor."""
-    node = node.parent
-    while node is not None and not node.decides:
-        node = node.parent
-    return node
+    return node.parent.owner if node.parent is not None else None
 
 
 LOGS = [NAMES.index(n) for n in ("text", "children", "like", "paragraphs", "controls", "headings")]
@@ -239,8 +244,7 @@ def text_of(pieces: list[tuple[Node, str]], kept: np.ndarray) -> str:
         if not text:
             parts.append(" ")
             continue
-        owner = node if node.decides else above(node)
-        if kept[owner.index]:
+        if kept[node.owner.index]:
             parts.append(text)
     return " ".join("".join(parts).split())
 
@@ -311,23 +315,26 @@ def marked(nodes: list[Node]) -> np.ndarray | None:
     return label
 
 
-MAIN_PART = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
+MAIN_PART = re.compile(r"<(article|main)\b[^>]*+>(.*?)</\1\s*+>", re.S | re.I)
+OPENING = re.compile(r"<(?:article|main)\b", re.I)
+#: A page that opens more parts than this names no single one; looking for their ends would take too long.
+MOST_OPENINGS = 8
 
 
 def training_rows(pages: DataFrame, sample: int = SAMPLE, frames: int = FRAMES) -> DataFrame:
     """(label, x) of the nodes of framed pages; pages without one named main part give none."""
-    chosen = bounded_sample(pages.where("html is not null").select("page_id", "html"), F.col("page_id"), sample)
+    chosen = bounded_sample(pages.where("html is not null").select("page_id", "html"), ["page_id", "html"], sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             labels, rows = [], []
             for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = MAIN_PART.findall(page)
+                found = MAIN_PART.findall(page) if len(OPENING.findall(page)) <= MOST_OPENINGS else []
                 if len(found) != 1:
                     continue
-                plain = re.sub(r"<[^>]*>", " ", found[0][1]).split(".")
+                plain = re.sub(r"<[^<>]*+>", " ", found[0][1]).split(".")
                 filler = [entities.escape(s.strip()) for s in plain if len(s.split()) > 2]
-                draw = np.random.default_rng([7, abs(page_id or 0)])
+                draw = np.random.default_rng([7, abs(page_id or 0), zlib.crc32(page.encode("utf-8", "surrogatepass"))])
                 for _ in range(frames):
                     nodes = summed(parsed(framed(found[0][1], filler, draw))[0])
                     labels.append(marked(nodes))
@@ -388,7 +395,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, ...]]:
 def extracted(pages: DataFrame, trees: list[tuple[np.ndarray, ...]]) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    NULL and empty pages, and pages of which no node is kept, give an empty text. Without trees every
+    White space is what Python's ``split`` takes for it, no-break spaces and line separators included.
+    Pages of any length and nesting are read whole, in time linear in their length; an element that is
+    never closed ends with the page. NULL and empty pages, and pages of which no node is kept, give an empty text. Without trees every
     node counts as undecided and nothing is kept. Repeated rows come back repeated; other columns are
     not read.
     """

@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, label: str, sample: int = SAMPLE, block: int = BLOC
 
     At most about ``sample`` rows are used, chosen by a hash of doc_id.
     """
-    rows = bounded_sample(labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("label")), F.col("doc_id"), sample)
+    rows = bounded_sample(labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("label")), ["doc_id", "text", "label"], sample)
     rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)))
     schema = pa.schema([("draw", pa.int64()), ("label", pa.int32()), ("found", pa.list_(pa.int32()))])
 

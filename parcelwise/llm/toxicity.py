@@ -175,7 +175,7 @@ def squashed(found: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """(patterns, logistic weights) from rows of (doc_id, text, toxic 0/1), of which about ``sample`` are used."""
-    rows = bounded_sample(rows.where(F.col("toxic").isin(0, 1)), F.col("doc_id"), sample).select(
+    rows = bounded_sample(rows.where(F.col("toxic").isin(0, 1)), ["doc_id", "text", "toxic"], sample).select(
         "text", F.col("toxic").cast("int").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(3)) > 0).alias("first")
     )
     rows = stored(rows.dropDuplicates(["text"]))  # copies say nothing new about a pattern
