@@ -1,27 +1,28 @@
 """Near-duplicate detection by SimHash with a byte-position inverted index and count filtering.
 
-A fingerprint has eight bytes. If two fingerprints differ in at most two bits, at most two of
-their bytes differ, so at least six of the eight positional bytes are shared. The index posts
-every fingerprint under combinations of positional bytes: the eight positions form four blocks of
-two, two of which at least stay whole, so a pair meets under one of six keys of four bytes. For
-each pair met, the shared positional bytes are tallied, pairs below six go, the rest is verified.
+A fingerprint has eight bytes. If two fingerprints differ in at most two bits, at least six of their
+positional bytes are the same. Postings of single bytes would be lists of a 256th of all fingerprints,
+so the index posts each distinct fingerprint under every four of its eight positional bytes. A pair
+that shares s bytes meets in (s over 4) of the 70 lists: the tally of meetings counts the shared bytes.
+Pairs that meet in fewer than (6 over 4) = 15 lists share fewer than six bytes and go; only the others
+are compared bit by bit.
 
 Posting lists longer than ``longest`` are not paired up. Their members are linked exactly through
 one-bit neighbours: two fingerprints differ in at most two bits if and only if some value is within
-one bit of both. A value has 65 such neighbours at most, so this is linear in the members.
+one bit of both. A value has 65 such neighbours at most, so this is linear in the members. A pair that
+meets in a long list is found there; any other pair has all its meetings tallied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import arrow_map, batch_of, checkpointed, raw_texts, stored
@@ -29,7 +30,8 @@ from parcelwise.llm.common import arrow_map, batch_of, checkpointed, raw_texts,
 SEED = 42
 POSITIONS = 8
 MOST_BITS = 2
-LEAST_SHARED = POSITIONS - MOST_BITS
+POSTED = 4
+LEAST_MEETINGS = math.comb(POSITIONS - MOST_BITS, POSTED)
 LONGEST = 32
 CHUNK = 1 << 16
 
@@ -66,34 +68,32 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    return reduce(add, (
-        (F.shiftrightunsigned(a.bitwiseXOR(b), 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(POSITIONS)
-    ))
+def postings(prints: DataFrame) -> DataFrame:
+    """(key, value, fp): every fingerprint under each choice of four positional bytes."""
+    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(POSITIONS), POSTED)]
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))
+    return prints.select("fp", F.posexplode(signed).alias("key", "mask")).select(
+        "key", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp"
+    )
 
 
-def postings(prints: DataFrame) -> DataFrame:
-    """(key, value, fp): every fingerprint under six combinations of four positional bytes."""
-    block = [F.shiftrightunsigned(F.col("fp"), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = F.array(*(
-        F.struct(F.lit(k).alias("key"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("value"))
-        for k, (i, j) in enumerate(combinations(range(4), 2))
-    ))
-    return prints.select("fp", F.explode(keys).alias("p")).select("p.key", "p.value", "fp")
+def tallied(short: DataFrame) -> DataFrame:
+    """(u, v, meetings) of the pairs that meet in posting lists; a list holds ``longest`` members at most."""
+    return (
+        short.groupBy("key", "value").agg(F.collect_list("fp").alias("members"))
+        .select("members", F.explode("members").alias("u"))
+        .select("u", F.explode(F.filter("members", lambda m: m > F.col("u"))).alias("v"))
+        .groupBy("u", "v").agg(F.count("*").alias("meetings"))
+    )
 
 
 def links(prints: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints with at most two differing bits."""
     posted = postings(prints)
     lists = stored(posted.groupBy("key", "value").count().where("count > 1"))
-    short = (
-        posted.join(lists.where(F.col("count") <= longest), ["key", "value"])
-        .groupBy("key", "value").agg(F.collect_list("fp").alias("members"))
-        .select("members", F.explode("members").alias("u"))
-        .select("u", F.explode(F.filter("members", lambda m: m > F.col("u"))).alias("v"))
-        .where(shared_bytes(F.col("u"), F.col("v")) >= LEAST_SHARED)
-        .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS)
+    short = tallied(posted.join(lists.where(F.col("count") <= longest).drop("count"), ["key", "value"]))
+    short = short.where(F.col("meetings") >= LEAST_MEETINGS).select("u", "v").where(
+        F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS
     )
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
     crowded = posted.join(lists.where(F.col("count") > longest), ["key", "value"], "left_semi").select("fp").distinct()

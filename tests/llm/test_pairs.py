@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 
 import numpy as np
 import pytest
@@ -95,6 +96,24 @@ def test_links_by_bits(spark):
         assert partition(edges) == want
 
 
+def test_tally_counts_shared_bytes(spark):
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 256, 8)
+    prints = set()
+    for changed in range(9):
+        for _ in range(3):
+            row = base.copy()
+            row[draw.permutation(8)[:changed]] ^= draw.integers(1, 256, changed)
+            prints.add(int.from_bytes(bytes(row.tolist()), "big", signed=True))
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    met = {(r.u, r.v): r.meetings for r in simhash.tallied(simhash.postings(frame)).collect()}
+    octets = {p: (p & (2**64 - 1)).to_bytes(8, "big") for p in prints}
+    same = {(a, b): sum(x == y for x, y in zip(octets[a], octets[b])) for a, b in itertools.combinations(sorted(prints), 2)}
+    assert met == {pair: math.comb(n, 4) for pair, n in same.items() if n >= 4}
+    kept = {pair for pair, n in met.items() if n >= simhash.LEAST_MEETINGS}
+    assert kept == {pair for pair, n in same.items() if n >= 6} and 0 < len(kept) < len(met)
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, prose(1, 80)), (2, prose(1, 80)), (2, prose(1, 80)), (7, prose(2, 80)), (None, prose(2, 80))], "doc_id long, text string")
     assert sorted(r.doc_id or -1 for r in simhash.keep_one(docs).collect()) == [-1, 2, 7]
