@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words everywhere in this package: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,11 +42,25 @@ def ship(spark: SparkSession) -> None:
     context._corpus_code = True
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(docs: DataFrame, column: str, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of ``docs``, with all their columns, for which ``judge`` says True of the value in ``column``.
+
+    Every row goes by its own verdict, so rows that share an id or have none do not decide for each other.
+    """
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; one of our own only where none is set, as in tests."""
     context = spark.sparkContext

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import arrow_map, batch_of, slices
+from parcelwise.llm.common import arrow_map, batch_of, kept_rows, slices
 
 Q = 8
 LENGTH = 60
@@ -300,7 +300,19 @@ def blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield sorted((tuple(r) for r in own.collect()), key=repr)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, length: int = LENGTH, share: float = EDIT_SHARE, block: int = BLOCK
+) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark passage."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null").distinct()
+    for rows in blocks(items, block):
+        shared = docs.sparkSession.sparkContext.broadcast(vars(Index.of(rows, q, length, share)))
+
+        def clean(texts: pa.Array, shared=shared) -> np.ndarray:
+            kept = np.ones(len(texts), bool)
+            for row, *_ in hits([normal(t) for t in texts.to_pylist()], Index(**shared.value)):
+                kept[row] = False
+            return kept
+
+        docs = kept_rows(docs, "text", clean)
+    return docs

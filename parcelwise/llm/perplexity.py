@@ -327,10 +327,10 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def measured(docs: DataFrame, orders: list[Parts]) -> DataFrame:
-    """doc_id, lang, the base counts and log_ppl, the mean negative log probability of a byte, each ``WORST`` at most."""
+    """doc_id, text_hash, lang, the base counts and log_ppl, the mean negative log probability of a byte, each ``WORST`` at most."""
     # each piece passes over all parts, so fewer and longer pieces where there are many
     piece, slice_ = (8 * PIECE, 8 * PIECE) if max(len(o.arrays) for o in orders) > 1 else (PIECE, 4 * PIECE)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((m, pa.int64()) for m in MEASURES), ("log_ppl", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((m, pa.int64()) for m in MEASURES), ("log_ppl", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, slice_):
@@ -346,14 +346,20 @@ def measured(docs: DataFrame, orders: list[Parts]) -> DataFrame:
             ppl = np.where(length > 0, -total / np.maximum(length, 1), np.nan)
             data = values.tobytes()
             counts = np.array([base_counts(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64).reshape(-1, 5)
-            yield batch_of(schema, doc_id=batch.column(0), lang=batch.column(1).cast(pa.string()),
+            yield batch_of(schema, doc_id=batch.column(0), text_hash=batch.column(3), lang=batch.column(1).cast(pa.string()),
                            log_ppl=pa.array(ppl, from_pandas=True), **{m: counts[:, i] for i, m in enumerate(MEASURES)})
 
-    ddl = "doc_id long, lang string, " + ", ".join(f"{m} long" for m in MEASURES) + ", log_ppl double"
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), run, ddl)
+    ddl = "doc_id long, text_hash long, lang string, " + ", ".join(f"{m} long" for m in MEASURES) + ", log_ppl double"
+    hashed = F.xxhash64("text").alias("text_hash")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", hashed), run, ddl)
 
 
 def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
+    """Base counts, log_ppl, base_failed and kept for every row of ``docs``, by ``verdicts``."""
+    return verdicts(docs, slots, width, headroom).drop("text_hash", "lang")
+
+
+def verdicts(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
     """Base counts, log_ppl, base_failed and kept for every row of ``docs``.
 
     The bands of a language are its quartiles of log_ppl, over its documents that pass the base
@@ -374,12 +380,19 @@ def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: fl
     bands = stored(bands.select("lang", (F.col("q1") - room).alias("lower"), (F.col("q3") + above).alias("upper")))
     inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
     return rows.join(bands, rows["lang"].eqNullSafe(bands["lang"]), "left").select(
-        "doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl",
+        "doc_id", "text_hash", rows["lang"], *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl",
         "lower", "upper",
     )
 
 
 def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that the rules reject; a doc_id shared by several rows goes if one is rejected."""
-    bad = judged(docs, slots, width, headroom).where("not kept").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows that the rules reject.
+
+    A verdict follows from the text and the language, so it finds its rows by doc_id, language and a hash
+    of the text; rows that share an id or have none do not decide for each other.
+    """
+    bad = verdicts(docs, slots, width, headroom).where("not kept").select(
+        F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")
+    ).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(bad, same, "left_anti")

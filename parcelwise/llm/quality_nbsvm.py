@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, byte_view, id_crc, slices, stored
+from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, byte_view, id_crc, kept_rows, slices, stored
 
 BITS = 18
 SIZE = 1 << BITS
@@ -137,10 +137,11 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-3)
 def fit(labelled: DataFrame, label: str, sample: int = SAMPLE, block: int = BLOCK) -> Model | float:
     """Model from rows of (doc_id, text, label 0/1); the share of label 1 where one class is absent.
 
-    At most about ``sample`` rows are used, chosen by a hash of doc_id.
+    At most ``sample`` rows are used, chosen by a hash. One block of them takes no part in the fit: the
+    margins of its rows, which the weights have not seen, tell how a margin becomes a score.
     """
     rows = bounded_sample(labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("label")), ["doc_id", "text", "label"], sample)
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)))
     schema = pa.schema([("draw", pa.int64()), ("label", pa.int32()), ("found", pa.list_(pa.int32()))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +180,12 @@ def fit(labelled: DataFrame, label: str, sample: int = SAMPLE, block: int = BLOC
         at = np.flatnonzero(weights)
         return pd.DataFrame({"f": at, "w": weights[at] * len(frame), "n": len(frame)})
 
-    placed = taken.withColumn("block", (F.col("draw") % (blocks + 1)).cast("int"))
-    fitted = placed if n < 2 * block else placed.where("block > 0")
+    # of few rows a fifth is held out, and the others are one block
+    number = F.col("draw") % (blocks + 1) if n >= 2 * block else F.least(F.col("draw") % 5, F.lit(1))
+    placed = taken.withColumn("block", number.cast("int"))
+    fitted = placed.where("block > 0")
+    if fitted.select("label").distinct().count() < 2:  # a handful of rows, all of a class or held out
+        fitted = placed
     parts = fitted.groupBy("block").applyInPandas(solve, "f long, w double, n long")
     weight = parts.groupBy("f").agg(F.sum("w").alias("w")).toPandas()
     used = fitted.count()
@@ -203,6 +208,12 @@ def _margins(model: Model):
     return run
 
 
+def scores_of(model: Model | float, texts: pa.Array) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(texts), model)
+    return model.scores(np.array([model.margin(f) for f in features(*byte_view(texts))]))
+
+
 def score(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every row of ``docs``; only the text is looked at.
 
@@ -213,12 +224,8 @@ def score(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in slices(batches, 1):
-            if isinstance(m, float):
-                scores = np.full(batch.num_rows, m)
-            else:
-                scores = m.scores(np.array([m.margin(f) for f in features(*byte_view(batch.column(1)))]))
+            scores = scores_of(shared.value, batch.column(1))
             yield batch_of(schema, doc_id=batch.column(0), score=scores, predicted=(scores >= threshold).astype(np.int32))
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, predicted int")
@@ -241,6 +248,8 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sampl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows predicted 0; a doc_id shared by several rows goes if one of them is rejected."""
-    bad = classified(docs, labels, threshold, sample).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows predicted 0, each by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(
+        fit(training_rows(docs, labels, "quality", held_out()), "quality", sample)
+    )
+    return kept_rows(docs, "text", lambda texts: scores_of(shared.value, texts) >= threshold)

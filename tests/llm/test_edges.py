@@ -11,7 +11,8 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from parcelwise.llm import common, html_extraction
+from parcelwise.llm import common, decontamination, html_extraction, perplexity, quality_nbsvm
+from tests.llm.test_pairs import prose
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -69,3 +70,45 @@ def test_exported_trees_predict_as_spark_does(spark):
     assert len(trees) == 6 and len(told) > 50
     ours = html_extraction.probabilities(trees, np.array([r.x for r in told]))
     assert np.allclose(ours, [r.probability[1] for r in told], atol=1e-9)
+
+
+# --- stages judge rows, not ids
+
+
+def twins(spark, bad, good):
+    """Bad and good texts under one id, and without an id, with a column that clashes with the stages' own."""
+    rows = [(d, t, "en", "s") for d in (None, 5) for t in [bad, *good]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, block string")
+
+
+def test_decontamination_removes_rows(spark):
+    passage = prose(50, 60)
+    docs = twins(spark, prose(51, 20) + " " + passage + " " + prose(52, 20), [prose(53, 80), None, ""])
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = decontamination.keep_clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if r.text is None or passage not in r.text)
+    assert decontamination.keep_clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_rules_remove_rows(spark):
+    good = [prose(i, 200) for i in range(60, 90)]
+    docs = twins(spark, "too short", good)
+    kept = perplexity.keep_good(docs)
+    found = sorted(map(repr, kept.collect()))
+    assert "too short" not in {r.text for r in kept.collect()} and len(found) > 40
+    wanted = perplexity.verdicts(docs).where("kept").count()
+    assert len(found) == wanted and {r.doc_id for r in kept.collect()} == {None, 5}
+
+
+def test_classifier_removes_rows(spark):
+    clean = [prose(i, 60) for i in range(100, 140)]
+    junk = ["buy now " * 30 + prose(i, 5) for i in range(140, 180)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string, block string")
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    mixed = docs.unionByName(twins(spark, junk[0], clean[:3]))
+    kept = quality_nbsvm.keep_good(mixed, labels)
+    rows = kept.where("doc_id is null or doc_id = 5").collect()
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in rows if r.doc_id is None) == sorted(clean[:3])
+    assert junk[0] not in {r.text for r in rows}
