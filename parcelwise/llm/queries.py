@@ -94,7 +94,7 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 SCHEMAS = {
     "search": {"type": "object", "required": ["limit", "query"], "additionalProperties": False,
-               "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 0, "maximum": 40}}},
+               "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 400}, "limit": {"type": "integer", "minimum": 0, "maximum": 40}}},
     "count": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}},
 }
 
@@ -103,14 +103,14 @@ def calls_of(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from ``conversations``: an assistant turn calls, the user's next turn answers.
 
     A call rests on the one before it, but for every fourth. Tools, arguments and their faults follow
-    from turn and text.
+    from turn and text; the argument holds the whole text of the turn.
     """
     turn, text = F.col("turn"), F.col("text")
-    told = F.to_json(F.struct(F.substr(text, F.lit(1), F.lit(40)).alias("query"), (F.length(text) % 50).alias("limit")))
+    told = F.to_json(F.struct(text.alias("query"), (F.length(text) % 50).alias("limit")))
     calls = talks.where("role = 'assistant'").select(
         "conv_id", F.concat(F.lit("c"), turn).alias("call_id"), "turn",
         F.element_at(F.array(F.lit("search"), F.lit("count"), F.lit("search"), F.lit("unknown")), (F.length(F.coalesce(text, F.lit(""))) % 4 + 1).cast("int")).alias("name"),
-        F.when(F.length(text) % 11 == 0, F.substr(told, F.lit(1), F.lit(20))).otherwise(told).alias("arguments"),
+        F.when(F.length(text) % 11 == 0, F.rtrim(told, F.lit("}"))).otherwise(told).alias("arguments"),
         F.when((turn / 2).cast("long") % 4 != 0, F.concat(F.lit("c"), turn - 2)).alias("after"),
     )
     results = talks.where("role = 'user' and turn > 0").select(

@@ -9,6 +9,7 @@ other one.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STEP = 1024
+# Fixed value: the characters that the pattern's \s stands for (Unicode White_Space).
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Longer runs of blanks are encoded on their own: the pattern's matcher backs up over a run, and a
+#: million blanks are more than it can bear.
+LONG_RUN = re.compile(f"{BLANK}{{4096,}}")
 
 
 def encoder(path: str):
@@ -31,6 +37,22 @@ def encoder(path: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokens(own, text: str | None) -> int:
+    """How many tokens ``text`` encodes to, whatever its length; NULL has none.
+
+    The pattern takes a run of blanks as one piece, but for its last blank where something follows. So
+    a text may be cut around such a piece without changing a token, and the piece needs no pattern.
+    """
+    if not text:
+        return 0
+    at = count = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        count += len(own.encode_ordinary(text[at : run.start()])) + len(own._encode_single_piece(text[run.start() : end]))
+        at = end
+    return count + len(own.encode_ordinary(text[at:]))
+
+
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(length, n_docs): how many of ``docs`` encode to each length, one partial count a slice of texts."""
     schema = pa.schema([("length", pa.int64()), ("n_docs", pa.int64())])
@@ -40,7 +62,7 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in slices(batches, 0):
             counts: dict[int, int] = {}
             for text in batch.column(0).to_pylist():
-                n = len(own.encode_ordinary(text)) if text else 0
+                n = tokens(own, text)
                 counts[n] = counts.get(n, 0) + 1
             yield batch_of(schema, length=list(counts), n_docs=list(counts.values()))
 
@@ -53,8 +75,9 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     docs_from, tokens_from: documents of this length or more and their tokens. truncated_total: tokens
     of the corpus if every document is cut to this length. quantile: the share of documents that are no
-    longer. total_docs, total_tokens: of the corpus. NULL and empty texts have length 0; repeated rows
-    count as often as they occur; other columns are not read; an empty table gives no rows.
+    longer. total_docs, total_tokens: of the corpus. NULL and empty texts have length 0; texts of any
+    length are encoded whole, runs of a million blanks or letters included; repeated rows count as often
+    as they occur; other columns are not read; an empty table gives no rows.
 
     Sums run over blocks of 1,024 lengths, and then within each block, so no task sees all lengths.
     """

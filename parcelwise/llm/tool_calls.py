@@ -2,7 +2,8 @@
 
 Calls and results are hash-joined by conversation and identifier. A call may name the call whose
 result it uses; its depth, the number of calls it rests on, comes from pointer doubling, so a chain of
-n calls takes log2(n) joins, and (depth, turn, call_id) is a topological order. Arguments are checked
+n calls takes log2(n) joins, and (depth, turn, call_id) is a topological order, in which every call
+gets its position. Arguments are checked
 against the schema of the tool, and each call is serialised as canonical JSON: sorted keys, no blanks,
 no escapes beyond those JSON needs.
 """
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import arrow_map, batch_of, checkpointed, stored
 
+TURNS = 1024
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
@@ -45,8 +47,11 @@ def problems(value: Any, schema: dict, path: str = "$") -> list[str]:
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf):
             found.append(f"{path}: out of bounds")
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        found.append(f"{path}: too short")
+    if isinstance(value, str):
+        if len(value) < schema.get("minLength", 0):
+            found.append(f"{path}: too short")
+        if len(value) > schema.get("maxLength", math.inf):
+            found.append(f"{path}: too long")
     return found
 
 
@@ -60,7 +65,9 @@ def judged(name: str | None, arguments: str | None, schemas: dict[str, dict]) ->
         return None, "unknown tool"
     try:
         value = json.loads(arguments or "", parse_constant=lambda x: float("inf"))
-        canonical(value)
+        canonical(value).encode()
+    except UnicodeEncodeError:  # an escaped half of a surrogate pair
+        return None, "$: not Unicode"
     except (ValueError, RecursionError):
         return None, "$: not JSON"
     return value, "; ".join(problems(value, schemas[name]))
@@ -88,8 +95,26 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.lit(-1)).alias("depth"))
 
 
+def placed(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, position): place from 0 in the order (depth, turn, call_id) of the conversation.
+
+    Calls on a cycle have none. Places are counted within blocks of a depth and 1,024 turns, and blocks
+    are added up, so a conversation with most of the calls is not sorted by one task.
+    """
+    block = ["conv_id", "depth", "block"]
+    rows = calls.where("depth >= 0").withColumn("block", F.expr(f"floor(turn / {TURNS})"))
+    sizes = rows.groupBy(*block).count()
+    before = Window.partitionBy("conv_id").orderBy("depth", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*block, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    same = F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("r.depth") == F.col("s.depth")) & F.col("r.block").eqNullSafe(F.col("s.block"))
+    within = Window.partitionBy("r.conv_id", "r.depth", "r.block").orderBy("r.turn", "r.call_id")
+    return rows.alias("r").join(sizes.alias("s"), same).select(
+        "r.conv_id", "r.call_id", (F.col("s.before") + F.row_number().over(within) - 1).alias("position")
+    )
+
+
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """conv_id, call_id, turn, depth, status and message of every call.
+    """conv_id, call_id, turn, depth, position, status and message of every call.
 
     ``calls`` has conv_id, call_id, turn, name, arguments (JSON text) and after (the call_id it rests on,
     or NULL); ``results`` has conv_id, call_id, turn and content. A call_id is unique in a conversation:
@@ -97,6 +122,9 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     (turn, content), NULL before other values. Calls with a NULL conv_id or call_id link to nothing and
     are left out, and so are results without a call. ``after`` that names no call counts as NULL.
 
+    ``position`` is the call's place in the topological order of its conversation, NULL on a cycle. Texts
+    and arguments of any length are handled whole; arguments with half a surrogate pair are invalid.
+
     status: 'ok', 'no result', 'cycle', or 'invalid: ...' with what is wrong with the arguments; of
     several, the last of these. message: {"arguments", "depth", "id", "name", "result"} as canonical JSON;
     arguments that are not JSON or whose tool is unknown stay as text.
@@ -110,8 +138,10 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     results = results.where(named).groupBy("conv_id", "call_id").agg(first("turn", "content")).select(
         "conv_id", "call_id", F.col("first.content").alias("content"), F.lit(True).alias("answered")
     )
-    whole = calls.join(depths(calls), ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left")
-    schema = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("turn", pa.int64()), ("depth", pa.int64()), ("status", pa.string()), ("message", pa.string())])
+    key = ["conv_id", "call_id"]
+    deep = stored(calls.join(depths(calls), key))
+    whole = deep.join(placed(deep), key, "left").join(results, key, "left")
+    schema = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("turn", pa.int64()), ("depth", pa.int64()), ("position", pa.int64()), ("status", pa.string()), ("message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +152,9 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
                 value = r["arguments"] if value is None else value
                 status.append(f"invalid: {wrong}" if wrong else "cycle" if r["depth"] < 0 else "ok" if r["answered"] else "no result")
                 messages.append(canonical({"arguments": value, "depth": r["depth"], "id": r["call_id"], "name": r["name"], "result": r["content"]}))
-            yield batch_of(schema, **{c: batch.column(c) for c in ("conv_id", "call_id", "turn", "depth")}, status=status, message=messages)
+            yield batch_of(schema, **{c: batch.column(c) for c in ("conv_id", "call_id", "turn", "depth", "position")}, status=status, message=messages)
 
     return arrow_map(
-        whole.select(F.col("conv_id").cast("long"), F.col("call_id").cast("string"), F.col("turn").cast("long"), "depth", "name", "arguments", "content", "answered"),
-        run, "conv_id long, call_id string, turn long, depth long, status string, message string",
+        whole.select(F.col("conv_id").cast("long"), F.col("call_id").cast("string"), F.col("turn").cast("long"), "depth", F.col("position").cast("long"), "name", "arguments", "content", "answered"),
+        run, "conv_id long, call_id string, turn long, depth long, position long, status string, message string",
     )

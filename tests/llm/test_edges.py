@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import random
 import time
 
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from parcelwise.llm import common, decontamination, html_extraction, perplexity, quality_nbsvm
+from parcelwise.llm import common, decontamination, html_extraction, perplexity, quality_nbsvm, queries, token_histogram, tool_calls
 from tests.llm.test_pairs import prose
 
 LARGER = "/root/testdata/sf0.1"
@@ -112,3 +115,94 @@ def test_classifier_removes_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.text for r in rows if r.doc_id is None) == sorted(clean[:3])
     assert junk[0] not in {r.text for r in rows}
+
+
+# --- token counts of any text
+
+
+def test_long_runs_do_not_change_tokens():
+    own = token_histogram.encoder(token_histogram.VOCABULARY)
+    blanks = [" ", "\n", " \t", "\u2003 ", "\r\n"]
+    ends = ["", "x", " x", "!", "9", "\x1c"]
+    for blank, start, end in itertools.product(blanks, ["", "word", "9 "], ends):
+        text = start + blank * 3000 + blank * 3000 + end + " tail" * bool(end)
+        assert token_histogram.tokens(own, text) == len(own.encode_ordinary(text))
+
+
+def test_texts_of_millions(spark):
+    own = token_histogram.encoder(token_histogram.VOCABULARY)
+    texts = [" " * 1_000_000, " " * 1_000_000 + "end", "a" * 1_000_000, "😀" * 250_000, ("word " * 1000 + "\n" * 5000) * 800]
+    parts = [len(own._encode_single_piece(b" " * 1_000_000)), len(own._encode_single_piece(b" " * 999_999)) + len(own.encode_ordinary(" end"))]
+    assert [token_histogram.tokens(own, t) for t in texts[:2]] == parts
+    found = token_histogram.histogram(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string"))
+    assert sorted(r.length for r in found.collect() for _ in range(r.n_docs)) == sorted([*(token_histogram.tokens(own, t) for t in texts), 0, 0])
+
+
+# --- tool calls
+
+
+def slow_links(calls):
+    """(depth, position) by following each call, over calls with unique (conv, id)."""
+    after = {(c, i): (c, a) for c, i, *_, a in calls}
+
+    def depth(key):
+        seen, n = set(), 0
+        while after[key] in after:
+            if key in seen:
+                return -1
+            seen.add(key)
+            key, n = after[key], n + 1
+        return n
+
+    depths = {(c, i): depth((c, i)) for c, i, *_ in calls}
+    turn = {(c, i): t for c, i, t, *_ in calls}
+    places = {}
+    for conv in {c for c, _ in depths}:
+        mine = sorted((d, turn[k], k[1]) for k, d in depths.items() if k[0] == conv and d >= 0)
+        places |= {(conv, i): n for n, (_, _, i) in enumerate(mine)}
+    return {k: (d, places.get(k)) for k, d in depths.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_on_random_graphs(spark, monkeypatch, seed):
+    monkeypatch.setattr(tool_calls, "TURNS", 3)
+    draw = random.Random(seed)
+    calls = []
+    for conv in range(6):
+        n = draw.choice([1, 5, 40])
+        ids = [f"c{i}" for i in range(n)]
+        for i in ids:
+            calls.append((conv, i, draw.randrange(12), "count", '{"query": "q"}', draw.choice([None, "nowhere", i, *ids, *ids])))
+    schema = "conv_id long, call_id string, turn long, name string, arguments string, after string"
+    frame = spark.createDataFrame(calls, schema).selectExpr("*", "1 as depth", "2 as position", "3 as block")
+    results = spark.createDataFrame([(c, i, 1, "r", 0) for c, i, *_ in calls[::2]], "conv_id long, call_id string, turn long, content string, depth int")
+    want = slow_links(calls)
+    found = {(r.conv_id, r.call_id): r for r in tool_calls.linked(frame, results, queries.SCHEMAS).collect()}
+    assert {k: (r.depth, r.position) for k, r in found.items()} == want
+    answered = {(c, i) for c, i, *_ in calls[::2]}
+    for k, r in found.items():
+        assert r.status == ("cycle" if want[k][0] < 0 else "ok" if k in answered else "no result")
+    assert tool_calls.linked(frame, results.limit(0), queries.SCHEMAS).where("status = 'ok'").count() == 0
+    # each call comes after the one it rests on
+    for c, i, *_, a in calls:
+        if want[c, i][1] is not None and (c, a) in want:
+            assert want[c, a][1] < want[c, i][1]
+
+
+def test_arguments_of_any_kind(spark):
+    long = "x" * 1_000_000
+    told = ['{"query": "\\ud800"}', json.dumps({"query": long}), json.dumps({"query": "é" * 400, "limit": 1}), '{"query": 1e400}', "[" * 100_000, None, "9" * 5000]
+    schema = "conv_id long, call_id string, turn long, name string, arguments string, after string"
+    calls = spark.createDataFrame([(1, str(i), i, "search", a, None) for i, a in enumerate(told)], schema)
+    results = spark.createDataFrame([(1, "1", 1, long)], "conv_id long, call_id string, turn long, content string")
+    rows = {int(r.call_id): r for r in tool_calls.linked(calls, results, queries.SCHEMAS).collect()}
+    assert rows[0].status == "invalid: $: not Unicode" and json.loads(rows[0].message)["arguments"] == told[0]
+    assert "too long" in rows[1].status and json.loads(rows[1].message)["result"] == long
+    assert rows[2].status == "no result"
+    assert all(rows[i].status == "invalid: $: not JSON" for i in (3, 4, 5, 6))
+
+
+def test_query_reads_whole_turns(spark):
+    talks = spark.createDataFrame([(1, 1, "assistant", "a" * 90), (1, 2, "user", "b" * 90)], "conv_id long, turn long, role string, text string")
+    calls, _ = queries.calls_of(talks)
+    assert json.loads(calls.first().arguments)["query"] == "a" * 90
