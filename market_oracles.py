@@ -226,6 +226,18 @@ join (select unnest(string_split('{Q.SUBTYPES}', ',')) as item) i on l.property_
 group by property_sub_type""",
         "property_sub_type:s n:i",
     ),
+    "split_lateral": typed(
+        """select tab_name, service_area, item_number, items[item_number] as item from (
+  select *, unnest(generate_series(1, len(items))) as item_number from (
+    select *, string_split(concat(tab_header, '/', service_area, '//'), '/') as items
+    from custom_tabs where tab_type <> 'Zone') s) u""",
+        "tab_name:s service_area:s item_number:i item:s",
+    ),
+    "catalog_names": typed(
+        """select n.county_fp, n.county, r.region from county_names n
+join county_by_region r on n.county = r.county""",
+        "county_fp:i county:s region:s",
+    ),
     "distinct_lookup": typed(
         f"""select distinct property_sub_type from property_subtypes
 where property_sub_type in ({quoted(K.PROPERTY_SUBTYPES)})""",
@@ -527,6 +539,7 @@ from ({UNITS}) u join (select zone, count(*) as units from ({SIDES}) s
   where office_key is not null group by zone) t on u.zone = t.zone""",
         "zone:s office_key:i share:d",
     ),
+    "dense_rank_blocks": typed(RANKED, "zone:s office_key:i units:i office_rank:i"),
     "dense_rank_units": typed(RANKED, "zone:s office_key:i units:i office_rank:i"),
     "yoy_change": typed(
         f"""with counts as (select municipality, quarter(close_date) as Qtr, year(close_date) as Yr,
@@ -1274,6 +1287,11 @@ where property_sub_type in ({quoted(Q.SUBTYPES.split(','))})""",
     "rpt_county_level": typed(
         sales("PropertyType, County", COUNTY_SALES), "PropertyType:s County:s " + SALES_SPEC
     ),
+    "rpt_county_level_clustered": typed(
+        f"""select * from ({sales("PropertyType, County", COUNTY_SALES)}) r
+where (Yr = 1999 or Yr = 2000) and Qtr = 2""",
+        "PropertyType:s County:s " + SALES_SPEC,
+    ),
     "rpt_county_level_stored": typed(
         sales("PropertyType, County", COUNTY_SALES), "PropertyType:s County:s " + SALES_SPEC
     ),

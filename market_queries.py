@@ -23,8 +23,11 @@ from parcelwise.plans import facts as PF
 from parcelwise.plans import market_areas as PA
 from parcelwise.plans import suite as PS
 from parcelwise.plans import views as PV
+from parcelwise.sources import clustering as CL
 from parcelwise.sources import facts as store
-from parcelwise.sources.tables import LISTING_KEYS
+from parcelwise.sources.schemas import TABLES
+from parcelwise.sources.sql import register_functions
+from parcelwise.sources.tables import LISTING_KEYS, from_catalog
 
 Tables = Mapping[str, DataFrame]
 
@@ -217,6 +220,50 @@ def share_of_total(t: Tables) -> DataFrame:
     )
 
 
+def dense_rank_blocks(t: Tables) -> DataFrame:
+    return R.dense_rank_by_blocks(office_units(t), ["zone"], "units", "office_rank")
+
+
+def split_lateral(t: Tables) -> DataFrame:
+    """Items of a delimited column by a table function; some texts are NULL or end in an empty item."""
+    spark = t["custom_tabs"].sparkSession
+    register_functions(spark)
+    return spark.sql(
+        """select tab_name, service_area, item_number, item
+        from (select *, case when tab_type <> 'Zone' then concat(tab_header, '/', service_area, '//') end as text from {tabs}) x,
+        lateral split_text(x.text, '/')""",
+        tabs=t["custom_tabs"],
+    )
+
+
+def catalog_names(t: Tables) -> DataFrame:
+    """Tables over files with the source's columns, read by three-part names."""
+    spark = t["county_names"].sparkSession
+    names = {}
+    for table in ("county_names", "county_by_region"):
+        raw = t[table].select(*[F.col(c).cast(kind).alias(source) for c, (source, kind) in TABLES[table].items()])
+        path = f"{store.shared_folder(spark)}/source-{table}-{sample_id(t)}"
+        names[table] = f"spark_catalog.default.source_{table}_{sample_id(t)}"
+        raw.write.mode("overwrite").parquet(path)
+        spark.sql(f"drop table if exists {names[table]}")
+        spark.sql(f"create table {names[table]} using parquet location '{path}'")
+    read = from_catalog(spark, names, case_blind=False)
+    return read["county_names"].join(read["county_by_region"], "county").select("county_fp", "county", "region")
+
+
+def sample_id(t: Tables) -> str:
+    return hashlib.md5(t.sf_dir.encode()).hexdigest()
+
+
+def clustered_quarters(t: Tables) -> DataFrame:
+    """A report of two quarters over listings saved in clustered files."""
+    spark = t["listings"].sparkSession
+    path = f"{store.shared_folder(spark)}/clustered-{sample_id(t)}"
+    CL.write_clustered_listings(t["listings"], path, files=8)
+    tables = {name: t[name] for name in ("listings_geo", "county_names", "county_by_region")}
+    return P.county_level({**tables, "listings": spark.read.parquet(path)}, SCOPE, QUARTERS)
+
+
 def rank_up_to_own(t: Tables) -> DataFrame:
     ranked = office_units(t).withColumn("office_rank", R.dense_rank_units(["zone"]))
     own = F.when(F.col("office_key") == 5, F.col("office_rank"))
@@ -374,6 +421,8 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "inline_relation_join": inline_relation_join,
     "split_param_join": split_param_join,
+    "split_lateral": split_lateral,
+    "catalog_names": catalog_names,
     "distinct_lookup": lambda t: t["property_subtypes"]
     .where(F.col("property_sub_type").isin(*K.PROPERTY_SUBTYPES))
     .distinct(),
@@ -486,6 +535,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "months_inventory_year": months_inventory_year,
     "months_inventory_qtr": months_inventory_qtr,
     "unit_share": unit_share,
+    "dense_rank_blocks": dense_rank_blocks,
     "dense_rank_units": lambda t: office_units(t).withColumn(
         "office_rank", R.dense_rank_units(["zone"])
     ),
@@ -508,7 +558,7 @@ def facts_refreshed(t: Tables) -> DataFrame:
     late = C.in_quarters("close_date", QUARTERS) & (F.col("listing_key") % 3 == 0)
     before = {**{name: t[name] for name in ("listings_geo", "county_names", "county_by_region")}}
     before["listings"] = listings.where(~F.coalesce(late, F.lit(False)))
-    path = f"{store.shared_folder(spark)}/facts-{hashlib.md5(t.sf_dir.encode()).hexdigest()}"
+    path = f"{store.shared_folder(spark)}/facts-{sample_id(t)}"
     PF.save(PF.county_facts(before, SCOPE), path)
     PF.refresh(PF.county_facts(t, SCOPE), path, QUARTERS)
     return PF.county_level_from(store.stored_facts(spark, path))
@@ -543,6 +593,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t, ranking_frame(), OWN_PREFIX, strict_parity=False
     ),
     "rpt_county_level_quarters": lambda t: P.county_level(t, SCOPE, QUARTERS),
+    "rpt_county_level_clustered": clustered_quarters,
     "rpt_county_level_stored": facts_refreshed,
     "suite_county_class": lambda t: SUITE.county_class(SUITE.stage(t)),
     "suite_county_all": lambda t: SUITE.county_all(SUITE.stage(t)),

@@ -87,6 +87,45 @@ def dense_rank_units(keys: Sequence[str], units="units") -> Column:
     return F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(units))).cast("bigint")
 
 
+def unit_block(units: Column) -> Column:
+    """Number of the range that whole ``units`` lie in, 64 ranges from each power of two to the next."""
+    bits = F.length(F.bin(units.cast("bigint")))
+    over = units.cast("double") / F.pow(F.lit(2.0), bits - 1) - 1
+    return F.when(units > 0, bits * 64 + F.floor(over * 64).cast("int")).when(units.isNotNull(), 0).otherwise(-1)
+
+
+def dense_rank_by_blocks(df: DataFrame, keys: Sequence[str], units: str, name: str) -> DataFrame:
+    """``df`` with the dense rank of ``units``, largest first, for groups too large for one task.
+
+    Equal units share a rank, so only the distinct ones are ranked: those of a group are dealt to
+    ranges of units, ranked within their range, and moved up by the number of distinct units in higher
+    ranges. Ranges follow from the values, so a lost task computes the same ones again. Units are whole
+    numbers from 0; NULL ranks last.
+    """
+    keys = list(keys)
+    levels = df.select(*keys, units).distinct().withColumn("_block", unit_block(F.col(units)))
+    sizes = levels.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    listed = sizes.groupBy(*keys).agg(F.collect_list(F.struct("_block", "_n")).alias("_sizes"))
+    offsets = listed.select(*keys, "_sizes", F.explode("_sizes").alias("_own")).select(
+        *keys, F.col("_own._block").alias("_block"),
+        F.aggregate(
+            F.filter("_sizes", lambda s: s["_block"] > F.col("_own._block")), F.lit(0).cast("bigint"), lambda a, s: a + s["_n"]
+        ).alias("_above"),
+    )
+    within = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(F.desc(units)))
+    ranks = null_safe_join(levels, offsets, [*keys, "_block"]).select(*keys, units, (F.col("_above") + within).alias(name))
+    return null_safe_join(df, ranks, [*keys, units])
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on columns in which NULL equals NULL; the left side's key columns stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first distinct row per key; a NULL sorts first."""
     window = Window.partitionBy(key).orderBy(order)

@@ -1,6 +1,8 @@
 from datetime import date
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from parcelwise import plans as P
 from parcelwise.functions import frames as FR
 from parcelwise.operators import joins as J
@@ -186,3 +188,34 @@ def test_share_by_listing_key_alone_or_with_source(spark):
     [exact] = P.share_by_company(tables, strict_parity=False).collect()
     assert (parity.SidesCount, exact.SidesCount) == (4, 1)
     assert parity.Company == exact.Company == "Keefe Real Estate" and parity.SidesMarketShare == 100
+
+
+def test_dense_rank_by_blocks(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    draw = random.Random(4)
+    values = [0, 1, 2, 3, 7, 8, 9, 63, 64, 65, 127, 128, 1000, 1001, 2**40, 2**40 + 1, 2**62, None]
+    rows = [(k, draw.choice(values)) for k in ["a", "b", None] for _ in range(60)] + [("c", v) for v in range(3000)]
+    frame = spark.createDataFrame(rows, "tab string, units bigint").withColumn("row", F.monotonically_increasing_id()).cache()
+    ranked = R.dense_rank_by_blocks(frame, ["tab"], "units", "r")
+    plain = frame.withColumn("r", F.dense_rank().over(Window.partitionBy("tab").orderBy(F.desc("units"))).cast("bigint"))
+    assert sorted(map(repr, ranked.collect())) == sorted(map(repr, plain.select(ranked.columns).collect()))
+    # ranges keep their order, so ties and neighbours across ranges are counted right
+    blocks = [r.b for r in spark.range(1, 5000).select("id", R.unit_block(F.col("id")).alias("b")).orderBy("id").collect()]
+    assert blocks == sorted(blocks) and len(set(blocks)) > 300
+    text = ranked._jdf.queryExecution().executedPlan().toString()
+    specs = [line for line in text.split("\n") if "Window [" in line]
+    assert specs and all("_block" in line for line in specs) and "Cartesian" not in text
+
+
+def test_split_text_is_a_generator(spark):
+    from parcelwise.sources.sql import register_functions
+
+    register_functions(spark)
+    spark.createDataFrame([(1, "a|b||"), (2, None), (3, ""), (4, "a.b")], "k int, x string").createOrReplaceTempView("texts_to_split")
+    found = spark.sql("select k, item_number, item from texts_to_split, lateral split_text(x, '|')")
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a"), (1, 2, "b"), (1, 3, ""), (1, 4, ""), (3, 1, ""), (4, 1, "a.b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and "Join" not in plan and "Exchange" not in plan
