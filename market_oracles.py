@@ -1240,6 +1240,10 @@ REPORTS = {
         "ActiveListings:i avg_DOM:d",
     ),
     "rpt_price_range_area": typed(price_range_area(), f"Yr:i area:s listpricebucket:s {_BAND_SPEC}"),
+    "rpt_supply_demand_sql": typed(
+        supply_demand(EVAL, "date '2000-01-01'", "date '2000-06-30'", 2000, K.BREAKS_16),
+        "Area:s Sort:i ListPriceBucket:s ActiveListings:i Sold_Prior6Months:i AvgDOM:i",
+    ),
     "rpt_supply_demand": typed(
         supply_demand(EVAL, "date '2000-01-01'", "date '2000-06-30'", 2000, K.BREAKS_16),
         "Area:s Sort:i ListPriceBucket:s ActiveListings:i Sold_Prior6Months:i AvgDOM:i",

@@ -21,6 +21,7 @@ from parcelwise.operators import statistics as S
 from parcelwise.plans import counties as PC
 from parcelwise.plans import facts as PF
 from parcelwise.plans import market_areas as PA
+from parcelwise.plans import sql as PQ
 from parcelwise.plans import suite as PS
 from parcelwise.plans import views as PV
 from parcelwise.sources import clustering as CL
@@ -264,6 +265,12 @@ def clustered_quarters(t: Tables) -> DataFrame:
     return P.county_level({**tables, "listings": spark.read.parquet(path)}, SCOPE, QUARTERS)
 
 
+def sql_supply_demand(t: Tables) -> DataFrame:
+    """The report called from SQL."""
+    PQ.register_reports(t, SUPPLY_RULES, K.BREAKS_16)
+    return t["listings"].sparkSession.sql(f"select * from supply_demand(date'{EVAL}', 2000)")
+
+
 def rank_up_to_own(t: Tables) -> DataFrame:
     ranked = office_units(t).withColumn("office_rank", R.dense_rank_units(["zone"]))
     own = F.when(F.col("office_key") == 5, F.col("office_rank"))
@@ -593,6 +600,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t, ranking_frame(), OWN_PREFIX, strict_parity=False
     ),
     "rpt_county_level_quarters": lambda t: P.county_level(t, SCOPE, QUARTERS),
+    "rpt_supply_demand_sql": sql_supply_demand,
     "rpt_county_level_clustered": clustered_quarters,
     "rpt_county_level_stored": facts_refreshed,
     "suite_county_class": lambda t: SUITE.county_class(SUITE.stage(t)),
