@@ -1140,6 +1140,29 @@ def firm_zones(strict: bool = True) -> str:
     )
 
 
+def firm_lines() -> str:
+    """The lines of each period numbered by themselves, and then put beside each other."""
+    columns = ", ".join(
+        f"max(case when GroupType = '{p}' then {value} end) as {p}_{name}"
+        for p in PERIODS_SHOWN for name, value in LINE_COLUMNS.items()
+    )
+    return f"""with r as ({firm_counties(Q.OWN_PREFIX)}),
+f as (select *, max(FirmRank) over (partition by TabName, GroupType, FirmPrefix) as fr from r),
+l as (select *, row_number() over (partition by TabName, GroupType order by fr, FirmPrefix, OfficeRank nulls first,
+  OfficeCity nulls first, MLSID nulls first) as Line from f)
+select TabName, Line, {columns} from l group by TabName, Line"""
+
+
+PERIODS_SHOWN = ("ytdClosed", "ytdUC", "pytdClosed", "pytdUC")
+LINE_COLUMNS = {
+    "Rank": "coalesce(FirmRank, OfficeRank)", "Name": "coalesce(OfficeCity, Firm)", "NoUnits": "NoUnits",
+    "PercUnits": "PercUnits", "AvgPrice": "AvgPrice", "avg_DOM": "avg_DOM",
+}
+_LINE_SPEC = "TabName:s Line:i " + " ".join(
+    f"{p}_Rank:i {p}_Name:s {p}_NoUnits:i {p}_PercUnits:d {p}_AvgPrice:d {p}_avg_DOM:i" for p in PERIODS_SHOWN
+)
+
+
 def curve(rows: str, keys: str, first, last, step: str) -> str:
     """Every listing tested on every day shown."""
     same = " and ".join(f"a.{k} = h.{k}" for k in keys.split(", "))
@@ -1328,6 +1351,7 @@ where (Yr = 1999 or Yr = 2000) and Qtr = 2""",
             )
         ),
     ),
+    "view_firm_lines": typed(firm_lines(), _LINE_SPEC),
     "view_firm_display": typed(
         f"""select TabName, GroupType, FirmRank, OfficeRank,
   case when OfficeCity is null then Firm else OfficeCity end as DisplayName, MLSID, NoUnits,

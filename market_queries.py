@@ -617,6 +617,9 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         2000,
         PV.text_order("listpricebucket", C.band_texts(K.BREAKS_4)),
     ),
+    "view_firm_lines": lambda t: P.firm_lines(
+        P.firm_blocks(P.firm_rank_counties(t, ranking_frame(), OWN_PREFIX))
+    ),
     "view_firm_display": lambda t: P.firm_display(
         P.firm_rank_counties(t, ranking_frame(), OWN_PREFIX)
     ),

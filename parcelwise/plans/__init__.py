@@ -6,7 +6,7 @@ from .geographies import custom_geo, municipality_level, towns_communities
 from .inventory import area_inventory, county_inventory
 from .market_areas import AreaRules, market_area, price_range_area, supply_demand
 from .market_share import share_by_company, share_by_price_range
-from .views import area_yoy, firm_display, price_point_yoy
+from .views import area_yoy, firm_blocks, firm_display, firm_lines, price_point_yoy
 
 __all__ = [
     "AreaRules",
@@ -19,7 +19,9 @@ __all__ = [
     "county_inventory",
     "county_level",
     "custom_geo",
+    "firm_blocks",
     "firm_display",
+    "firm_lines",
     "firm_rank_counties",
     "firm_rank_zones",
     "market_area",

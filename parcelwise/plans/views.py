@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import constants as K
 
 PRICE_POINT_MEASURES = ("total_listings", "total_sold", "total_volume_sold", "months_inventory")
 
@@ -83,3 +84,49 @@ def firm_display(ranking: DataFrame) -> DataFrame:
             "PercUnits", "AvgPrice", "avg_DOM",
         )
     )
+
+
+PERIODS = (K.PERIOD_CLOSED, K.PERIOD_CONTRACT, K.PERIOD_CLOSED_PRIOR, K.PERIOD_CONTRACT_PRIOR)
+FIGURES = ("NoUnits", "PercUnits", "AvgPrice", "avg_DOM")
+
+
+def firm_blocks(ranking: DataFrame) -> DataFrame:
+    """One row a tab: for each period an array of its firms by rank, each with an array of its offices.
+
+    Firms of one rank follow by prefix, offices of one rank by city and id. A period without firms is
+    an empty array. The arrays are as long as the ranking that is shown.
+    """
+    firm_row = F.col("FirmRank").isNotNull()
+    figures = [F.col(c) for c in FIGURES]
+    offices = F.collect_list(F.when(~firm_row, F.struct("OfficeRank", "OfficeCity", "MLSID", *figures)))
+    firms = ranking.groupBy("TabName", "GroupType", "FirmPrefix").agg(
+        F.max(F.when(firm_row, F.struct("FirmRank", "Firm", *figures))).alias("_firm"),
+        F.sort_array(offices).alias("offices"),
+    )
+    entry = F.struct("_firm.FirmRank", "FirmPrefix", "_firm.Firm", *[f"_firm.{c}" for c in FIGURES], "offices")
+    return firms.groupBy("TabName").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("GroupType") == p, entry))).alias(p) for p in PERIODS]
+    )
+
+
+def firm_lines(blocks: DataFrame) -> DataFrame:
+    """The blocks as displayed: line by line, the four periods beside each other.
+
+    A firm's line comes before those of its offices. A period with fewer lines ends earlier.
+    """
+    def lines(period: str) -> Column:
+        def line(rank: Column, name: Column, row: Column) -> Column:
+            return F.struct(rank.alias("Rank"), name.alias("Name"), *[row[c].alias(c) for c in FIGURES])
+
+        def of_firm(firm: Column) -> Column:
+            own = F.transform(firm["offices"], lambda o: line(o["OfficeRank"], F.coalesce(o["OfficeCity"], firm["Firm"]), o))
+            return F.concat(F.array(line(firm["FirmRank"], firm["Firm"], firm)), own)
+
+        return F.flatten(F.transform(period, of_firm)).alias(period)
+
+    side_by_side = blocks.select("TabName", *[lines(p) for p in PERIODS])
+    rows = side_by_side.select("TabName", F.posexplode(F.arrays_zip(*PERIODS)).alias("_at", "_l"))
+    return rows.select(
+        "TabName", (F.col("_at") + 1).alias("Line"),
+        *[F.col(f"_l.{p}.{c}").alias(f"{p}_{c}") for p in PERIODS for c in ("Rank", "Name", *FIGURES)],
+    ).orderBy("TabName", "Line")

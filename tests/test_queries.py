@@ -21,7 +21,7 @@ from parcelwise.sources import tables as T
 
 # Seven suppliers are too few for these to find an own office in every period.
 MAY_BE_EMPTY = {"rank_up_to_own", "rpt_broker_towns", "rpt_firm_counties", "rpt_firm_zones",
-                "firm_office_rank", "view_firm_display", "left_join_const"}
+                "firm_office_rank", "view_firm_display", "view_firm_lines", "left_join_const"}
 
 
 @pytest.fixture(scope="session")
@@ -84,6 +84,29 @@ def test_firm_display_order(spark):
     assert [r.DisplayName for r in P.firm_display(ranking).collect()] == ["Bee", "Z", "Ay", "Y", "X"]
 
 
+def test_firm_blocks_nest_and_line_up(spark):
+    schema = (
+        "TabName string, GroupType string, FirmPrefix string, Firm string, OfficeCity string, MLSID string, NoUnits int, "
+        "AvgPrice double, avg_DOM int, PercUnits double, FirmRank int, OfficeRank int"
+    )
+    rows = [
+        ("T", "ytdClosed", p, f, c, m, 1, 1.0, 1, 0.5, fr, o)
+        for p, f, c, m, fr, o in [
+            ("B", "Bee", None, None, 1, None), ("A", "Ay", None, None, 2, None), ("A", "Ay", None, "A2", None, 3),
+            ("A", "Ay", "Y", "A1", None, 1), ("B", "Bee", "Z", "B1", None, 2),
+        ]
+    ] + [("T", "pytdUC", "A", "Ay", None, None, 7, 2.0, None, 1.0, 1, None)]
+    blocks = P.firm_blocks(spark.createDataFrame(rows, schema))
+    tab = blocks.first()
+    assert [(f.Firm, [o.MLSID for o in f.offices]) for f in tab.ytdClosed] == [("Bee", ["B1"]), ("Ay", ["A1", "A2"])]
+    assert tab.ytdUC == [] and [f.NoUnits for f in tab.pytdUC] == [7]
+    lines = P.firm_lines(blocks).collect()
+    assert [(r.Line, r.ytdClosed_Name, r.pytdUC_Name) for r in lines] == [
+        (1, "Bee", "Ay"), (2, "Z", None), (3, "Ay", None), (4, "Y", None), (5, "Ay", None)
+    ]
+    assert P.firm_lines(blocks.where("false")).count() == 0
+
+
 def test_change_is_from_the_year_before(spark):
     rows = [("a", 2, 2019, 100), ("a", 2, 2021, 150), ("a", 2, 2022, 75), ("b", 2, 2020, 0), ("b", 2, 2021, 5), ("b", 2, 2022, None)]
     frame = spark.createDataFrame(rows, "Area string, Qtr int, Yr int, n int")
