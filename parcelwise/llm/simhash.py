@@ -2,9 +2,9 @@
 
 A fingerprint has eight bytes. If two fingerprints differ in at most two bits, at least six of their
 positional bytes are the same. Postings of single bytes would be lists of a 256th of all fingerprints,
-so the index posts each distinct fingerprint under every four of its eight positional bytes. A pair
-that shares s bytes meets in (s over 4) of the 70 lists: the tally of meetings counts the shared bytes.
-Pairs that meet in fewer than (6 over 4) = 15 lists share fewer than six bytes and go; only the others
+so the index posts each distinct fingerprint under every five of its eight positional bytes. A pair
+that shares s bytes meets in (s over 5) of the 56 lists: the tally of meetings counts the shared bytes.
+Pairs that meet in fewer than (6 over 5) = 6 lists share fewer than six bytes and go; only the others
 are compared bit by bit.
 
 Posting lists longer than ``longest`` are not paired up. Their members are linked exactly through
@@ -30,7 +30,7 @@ from parcelwise.llm.common import arrow_map, batch_of, checkpointed, raw_texts,
 SEED = 42
 POSITIONS = 8
 MOST_BITS = 2
-POSTED = 4
+POSTED = 5
 LEAST_MEETINGS = math.comb(POSITIONS - MOST_BITS, POSTED)
 LONGEST = 32
 CHUNK = 1 << 16
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def postings(prints: DataFrame) -> DataFrame:
-    """(key, value, fp): every fingerprint under each choice of four positional bytes."""
+    """(key, value, fp): every fingerprint under each choice of five positional bytes."""
     masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(POSITIONS), POSTED)]
     signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))
     return prints.select("fp", F.posexplode(signed).alias("key", "mask")).select(

@@ -109,7 +109,7 @@ def test_tally_counts_shared_bytes(spark):
     met = {(r.u, r.v): r.meetings for r in simhash.tallied(simhash.postings(frame)).collect()}
     octets = {p: (p & (2**64 - 1)).to_bytes(8, "big") for p in prints}
     same = {(a, b): sum(x == y for x, y in zip(octets[a], octets[b])) for a, b in itertools.combinations(sorted(prints), 2)}
-    assert met == {pair: math.comb(n, 4) for pair, n in same.items() if n >= 4}
+    assert met == {pair: math.comb(n, simhash.POSTED) for pair, n in same.items() if n >= simhash.POSTED}
     kept = {pair for pair, n in met.items() if n >= simhash.LEAST_MEETINGS}
     assert kept == {pair for pair, n in same.items() if n >= 6} and 0 < len(kept) < len(met)
 
