@@ -32,8 +32,8 @@ SLOTS = 1 << 22
 PIECE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 INDEX_BITS = 20
-#: What a byte costs at the most: rare characters of a clean text count as rare, not as impossible.
-WORST = 7.0
+#: What a byte costs at the most in ``log_ppl``, in nats; infinity gives the model's own perplexity.
+WORST = float("inf")
 SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 
 
@@ -277,7 +277,7 @@ def estimated(docs: DataFrame, slots: int | None, others: bool = False) -> Itera
 
 def collected(entries: DataFrame) -> Arrays:
     """The arrays of some entries; NaN for what an entry lacks."""
-    rows = entries.select("gram", F.coalesce(F.log("p"), F.lit(float("nan"))).alias("p"), F.log(F.coalesce(F.greatest("gamma", F.lit(1e-9)), F.lit(1.0))).alias("g")).toArrow()
+    rows = entries.select("gram", F.coalesce(F.log("p"), F.lit(float("nan"))).alias("p"), F.log(F.greatest(F.coalesce("gamma", F.lit(1.0)), F.lit(1e-9))).alias("g")).toArrow()
     return Arrays.of(*(rows.column(i).to_numpy() for i in range(3)))
 
 
@@ -326,8 +326,8 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, orders: list[Parts]) -> DataFrame:
-    """doc_id, text_hash, lang, the base counts and log_ppl, the mean negative log probability of a byte, each ``WORST`` at most."""
+def measured(docs: DataFrame, orders: list[Parts], worst: float = WORST) -> DataFrame:
+    """doc_id, text_hash, lang, the base counts and log_ppl, the mean negative log probability of a byte, each ``worst`` at most."""
     # each piece passes over all parts, so fewer and longer pieces where there are many
     piece, slice_ = (8 * PIECE, 8 * PIECE) if max(len(o.arrays) for o in orders) > 1 else (PIECE, 4 * PIECE)
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), *((m, pa.int64()) for m in MEASURES), ("log_ppl", pa.float64())])
@@ -337,7 +337,7 @@ def measured(docs: DataFrame, orders: list[Parts]) -> DataFrame:
             values, offsets = byte_view(batch.column(2))
             total, at = np.zeros(batch.num_rows), 0
             for packed in pieces(values, offsets, piece):
-                costs = np.maximum(log_probabilities(orders, packed), -WORST)
+                costs = np.maximum(log_probabilities(orders, packed), -worst)
                 running = np.concatenate([[0.0], np.cumsum(costs)])
                 ends = np.clip(offsets - at, 0, len(packed))
                 total += running[ends[1:]] - running[ends[:-1]]
@@ -354,30 +354,37 @@ def measured(docs: DataFrame, orders: list[Parts]) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", hashed), run, ddl)
 
 
-def judged(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
+def judged(
+    docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.05, worst: float = WORST
+) -> DataFrame:
     """Base counts, log_ppl, base_failed and kept for every row of ``docs``, by ``verdicts``."""
-    return verdicts(docs, slots, width, headroom).drop("text_hash", "lang")
+    return verdicts(docs, slots, width, headroom, worst).drop("text_hash", "lang")
 
 
-def verdicts(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
+def verdicts(
+    docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.05, worst: float = WORST
+) -> DataFrame:
     """Base counts, log_ppl, base_failed and kept for every row of ``docs``.
 
     The bands of a language are its quartiles of log_ppl, over its documents that pass the base
-    rules, widened by ``width`` times their distance, and by a twentieth of the median at least. Above
-    it is ``headroom`` times the median at least, so that clean texts with numbers, keys or a foreign
-    passage stay. A NULL language has bands of its own, and so has each other value of ``lang``. Empty and NULL texts have
+    rules. The upper one is raised by ``width`` times their distance, and by ``headroom`` times the
+    median at least. The lower one goes down by ``width`` times their distance, or a twentieth of the
+    median if that is more, so that texts near to others stay for the stages that look for copies.
+    ``log_ppl`` is the mean cost of a byte, each ``worst`` nats at most; a text is judged by
+    n-grams that another text holds too. A NULL language has bands of its own, and so has each other value of ``lang``. Empty and NULL texts have
     no words and fail the base rules. Repeated rows come back repeated. Other columns are not read.
     """
-    rows = stored(measured(docs, whole_model(docs, slots)).withColumn(
+    rows = stored(measured(docs, whole_model(docs, slots), worst).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ))
     quartile = lambda q: F.percentile_approx("log_ppl", q, 1000)
     bands = rows.where("not base_failed").groupBy("lang").agg(
         quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3")
     )
-    room = width * F.greatest(F.col("q3") - F.col("q1"), F.col("q2") / 20)
-    above = F.greatest(room, headroom * F.col("q2"))
-    bands = stored(bands.select("lang", (F.col("q1") - room).alias("lower"), (F.col("q3") + above).alias("upper")))
+    spread = F.col("q3") - F.col("q1")
+    below = width * F.greatest(spread, F.col("q2") / 20)
+    above = F.greatest(width * spread, headroom * F.col("q2"))
+    bands = stored(bands.select("lang", (F.col("q1") - below).alias("lower"), (F.col("q3") + above).alias("upper")))
     inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
     return rows.join(bands, rows["lang"].eqNullSafe(bands["lang"]), "left").select(
         "doc_id", "text_hash", rows["lang"], *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl",
@@ -385,7 +392,7 @@ def verdicts(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom:
     )
 
 
-def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, slots: int = SLOTS, width: float = 4.0, headroom: float = 0.05) -> DataFrame:
     """``docs`` without the rows that the rules reject.
 
     A verdict follows from the text and the language, so it finds its rows by doc_id, language and a hash

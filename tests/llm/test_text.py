@@ -121,6 +121,64 @@ def test_all_texts_teach(spark):
     assert max(found[100 + i].log_ppl for i in range(3, 30)) < 2
 
 
+def slow_served(texts: list[str]):
+    """p(n-gram) of the served model: as ``slow_model``, with the mass of n-grams in one text given to the back-off."""
+    order, raws = 5, {b"\0" * 4 + t.encode() for t in texts}
+    many = [b"\0" * 4 + t.encode() for t in texts]
+    counts = {order: Counter(raw[i : i + order] for raw in many for i in range(len(raw) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    holders = defaultdict(set)
+    for raw in raws:
+        for i in range(len(raw) - order + 1):
+            for k in range(1, order + 1):
+                holders[raw[i + order - k : i + order]].add(raw)
+    cuts = {}
+    for k in counts:
+        n = Counter(counts[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] and n[3] else None
+        raw_cuts = (0.5,) * 3 if y is None else (1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3])
+        cuts[k] = raw_cuts if y is None else [min(max(d, 0), i) for i, d in enumerate(raw_cuts, 1)]
+    mass = {g: c - cuts[k][min(c, 3) - 1] for k in counts for g, c in counts[k].items()}
+    whole, kept = defaultdict(int), defaultdict(float)
+    for k in counts:
+        for g, c in counts[k].items():
+            whole[k, g[:-1]] += c
+            kept[k, g[:-1]] += mass[g] if len(holders[g]) > 1 else 0
+
+    def p(gram: bytes) -> float:
+        if not gram:
+            return 1 / 256
+        key = len(gram), gram[:-1]
+        if not kept[key]:
+            return p(gram[1:])
+        own = mass[gram] / whole[key] if gram in mass and len(holders[gram]) > 1 else 0
+        return own + (1 - kept[key] / whole[key]) * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("slots", [1 << 22, 200])
+def test_served_model_against_definition(spark, slots):
+    texts = [prose(i, 60 + 5 * i) + " é" * (i % 3) for i in range(20)] + [prose(3, 75), "a text of its own, twice"] + ["a text of its own, twice"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    orders = perplexity.whole_model(docs, slots)
+    assert any(len(o.arrays) > 1 for o in orders) == (slots == 200)
+    p = slow_served(texts)
+    for text in (texts[0], "unseen ZZ ###", texts[5][:40] + "qqq", "日本", texts[-1]):
+        raw = text.encode()
+        packed = perplexity.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        padded = b"\0" * 4 + raw
+        want = [math.log(p(padded[i : i + 5])) for i in range(len(raw))]
+        assert np.allclose(perplexity.log_probabilities(orders, packed), want, atol=2e-4)
+
+
+def test_worst_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, prose(i, 90), "en") for i in range(30)] + [(99, prose(1, 60) + "日本" * 30, "en")], "doc_id long, text string, lang string")
+    plain, free = ({r.doc_id: r.log_ppl for r in perplexity.judged(docs, worst=w).collect()} for w in (7.0, perplexity.WORST))
+    assert free[99] > plain[99] and all(free[i] >= plain[i] - 1e-9 for i in free)
+
+
 def test_judged_by_whole_model(spark):
     """Parts hold what one array holds: nothing is left out, so the size of the parts changes no figure."""
     rows = [(i, prose(i, 80 + i), "en") for i in range(20)] + [(100 + i, "ñé日本 " * i + prose(i, 60), "xx") for i in range(4)]
