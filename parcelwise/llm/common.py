@@ -147,3 +147,27 @@ def bounded_sample(labelled: DataFrame, columns: Sequence[str], most: int) -> Da
     if found.n == 0 or found.n < most and found.rows <= most:
         return labelled
     return hashed.where(F.col("_hash") <= found["last"]).dropDuplicates(["_hash"]).drop("_hash")
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """``bounded_sample`` of the (doc_id, text, label) that documents and ``marks`` (doc_id, label 0 or 1) join to.
+
+    What is joined, counted and sorted are ids and hashes; texts leave the scan for the chosen rows alone,
+    which are few enough to be broadcast.
+    """
+    texts = docs.select("doc_id", "text")
+    hashes = [F.xxhash64("doc_id", "text", F.lit(y), F.lit(7)).alias(f"_hash{y}") for y in (0, 1)]
+    counted = marks.select("doc_id", F.col("label").cast("int")).groupBy("doc_id", "label").agg(F.count("*").alias("copies"))
+    hashed = texts.select("doc_id", *hashes).join(counted, "doc_id").withColumn(
+        "_hash", F.when(F.col("label") == 1, F.col("_hash1")).otherwise(F.col("_hash0"))
+    )
+    groups = hashed.groupBy("_hash", "doc_id", "label", "copies").agg(F.sum("copies").alias("rows"))
+    chosen = stored(groups.orderBy("_hash").limit(most))
+    found = chosen.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
+    own = F.xxhash64("doc_id", "text", "label", F.lit(7)) == F.col("_hash")
+    rows = texts.join(F.broadcast(chosen.drop("rows")), "doc_id").where(own)
+    if found.n < most and (found.rows or 0) <= most:
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    else:
+        rows = rows.dropDuplicates(["_hash"])
+    return rows.select("doc_id", "text", "label")

@@ -231,6 +231,12 @@ def score(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> Data
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, predicted int")
 
 
+def marks_of(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
+    """(doc_id, label) of the rows marked 0 or 1 outside ``held_out``; ids with two labels count twice."""
+    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
+    return marks.select("doc_id", F.col(label).cast("int").alias("label"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column) -> DataFrame:
     """(doc_id, text, label) of the labelled documents outside ``held_out``; ids with two labels count twice."""
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).where(~held_out)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, id_crc, slices, stored
-from parcelwise.llm.quality_nbsvm import logistic, training_rows
+from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, id_crc, labelled_sample, slices, stored
+from parcelwise.llm.quality_nbsvm import logistic, marks_of
 
 #: Bound on the labelled rows used: two thirds of them teach the patterns, the rest the composition.
 SAMPLE = 16_000
@@ -175,9 +175,13 @@ def squashed(found: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """(patterns, logistic weights) from rows of (doc_id, text, toxic 0/1), of which about ``sample`` are used."""
-    rows = bounded_sample(rows.where(F.col("toxic").isin(0, 1)), ["doc_id", "text", "toxic"], sample).select(
-        "text", F.col("toxic").cast("int").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(3)) > 0).alias("first")
-    )
+    rows = bounded_sample(rows.where(F.col("toxic").isin(0, 1)), ["doc_id", "text", "toxic"], sample)
+    return learnt(rows.select("doc_id", "text", F.col("toxic").cast("int").alias("label")))
+
+
+def learnt(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """(patterns, logistic weights) from all of the (doc_id, text, label 0/1) given."""
+    rows = rows.select("text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(3)) > 0).alias("first"))
     rows = stored(rows.dropDuplicates(["text"]))  # copies say nothing new about a pattern
     insults = lexicon(rows.where("first"))
     grammar_of = rows.sparkSession.sparkContext.broadcast(insults)
@@ -226,5 +230,5 @@ def held_out(column: str = "doc_id") -> Column:
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted and n_clauses of every row, learnt from rows not held out."""
-    insults, beta = fit(training_rows(docs, labels, "toxic", held_out()), sample)
+    insults, beta = learnt(labelled_sample(docs, marks_of(labels, "toxic", held_out()), sample))
     return score(docs, insults, beta, threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_clauses")

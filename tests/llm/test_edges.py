@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import itertools
 import json
 import os
 import random
+import re
 import time
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from parcelwise.llm import common, decontamination, html_extraction, perplexity, quality_nbsvm, queries, token_histogram, tool_calls
+from parcelwise.llm import common, decontamination, html_extraction, perplexity, quality_nbsvm, queries, token_histogram, tool_calls, toxicity
 from tests.llm.test_pairs import prose
 
 LARGER = "/root/testdata/sf0.1"
@@ -49,6 +52,51 @@ def test_sample_is_bounded_and_steady(spark):
     assert common.bounded_sample(rows.limit(0), ["doc_id"], 400).count() == 0
 
 
+def many_labelled(spark):
+    """Documents with ids and texts that repeat or are NULL, and marks that repeat and contradict each other."""
+    words = [prose(i, 30) for i in range(40)]
+    rows = [(i % 250 if i % 11 else None, words[i % 37] + str(i % 150) if i % 13 else None, "x") for i in range(900)]
+    marks = [(i % 260 if i % 17 else None, i // 7 % 3 if i % 5 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    return docs, spark.createDataFrame([(i, q, q) for i, q in marks], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("most", [50, 700, 100_000])
+def test_labelled_sample_is_that_of_the_join(spark, most):
+    docs, labels = many_labelled(spark)
+    marks = labels.where("toxic in (0, 1)").selectExpr("doc_id", "toxic as label")
+    joined = docs.select("doc_id", "text").join(marks, "doc_id")
+    want = common.bounded_sample(joined, ["doc_id", "text", "label"], most).collect()
+    assert len(want) == min(most, joined.count()) or len(want) == min(most, joined.distinct().count())
+    found = common.labelled_sample(docs, marks, most)
+    assert found.columns == ["doc_id", "text", "label"] and sorted(map(repr, found.collect())) == sorted(map(repr, want))
+    assert common.labelled_sample(docs, marks.where("false"), most).count() == common.labelled_sample(docs.where("false"), marks, most).count() == 0
+
+
+@pytest.mark.parametrize("module", [toxicity])
+@pytest.mark.parametrize("sample", [60, 100_000])
+def test_texts_stay_where_labels_are_joined(spark, monkeypatch, module, sample):
+    plans = []
+
+    def noted(df, keep=common.stored):
+        with contextlib.redirect_stdout(io.StringIO()) as told:
+            df.explain(mode="formatted")
+        plans.append(told.getvalue())
+        return keep(df)
+
+    monkeypatch.setattr(common, "stored", noted)
+    monkeypatch.setattr(module, "stored", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, labels = many_labelled(spark)
+        assert module.classified(docs, labels, sample=sample).count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt = re.findall(r"Exchange\nInput \[\d+\]: (\[.*\])\nArguments: hashpartitioning\(doc_id", "\n".join(plans))
+    assert dealt and not [columns for columns in dealt if "text#" in columns]
+
+
 @pytest.mark.parametrize(
     "page",
     ["<a " + "x " * 100_000, "<script " * 25_000, "<b>x" * 50_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<a \"'" * 40_000,
