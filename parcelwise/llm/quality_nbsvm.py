@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, byte_view, id_crc, kept_rows, slices, stored
+from parcelwise.llm.common import arrow_map, batch_of, bounded_sample, byte_view, id_crc, kept_rows, labelled_sample, slices, stored
 
 BITS = 18
 SIZE = 1 << BITS
@@ -140,7 +140,12 @@ def fit(labelled: DataFrame, label: str, sample: int = SAMPLE, block: int = BLOC
     At most ``sample`` rows are used, chosen by a hash. One block of them takes no part in the fit: the
     margins of its rows, which the weights have not seen, tell how a margin becomes a score.
     """
-    rows = bounded_sample(labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("label")), ["doc_id", "text", "label"], sample)
+    labelled = labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias("label"))
+    return learnt(bounded_sample(labelled, ["doc_id", "text", "label"], sample), block)
+
+
+def learnt(rows: DataFrame, block: int = BLOCK) -> Model | float:
+    """``fit`` on all of the (doc_id, text, label 0/1) given."""
     rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)))
     schema = pa.schema([("draw", pa.int64()), ("label", pa.int32()), ("found", pa.list_(pa.int32()))])
 
@@ -237,25 +242,17 @@ def marks_of(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
     return marks.select("doc_id", F.col(label).cast("int").alias("label"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents outside ``held_out``; ids with two labels count twice."""
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).where(~held_out)
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def held_out(column: str = "doc_id") -> Column:
     return id_crc(column) % 5 == 0
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, learnt from the rows that are not held out."""
-    model = fit(training_rows(docs, labels, "quality", held_out()), "quality", sample)
+    model = learnt(labelled_sample(docs, marks_of(labels, "quality", held_out()), sample))
     return score(docs, model, threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows predicted 0, each by its own text."""
-    shared = docs.sparkSession.sparkContext.broadcast(
-        fit(training_rows(docs, labels, "quality", held_out()), "quality", sample)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(labelled_sample(docs, marks_of(labels, "quality", held_out()), sample)))
     return kept_rows(docs, "text", lambda texts: scores_of(shared.value, texts) >= threshold)

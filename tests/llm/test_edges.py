@@ -73,7 +73,7 @@ def test_labelled_sample_is_that_of_the_join(spark, most):
     assert common.labelled_sample(docs, marks.where("false"), most).count() == common.labelled_sample(docs.where("false"), marks, most).count() == 0
 
 
-@pytest.mark.parametrize("module", [toxicity])
+@pytest.mark.parametrize("module", [quality_nbsvm, toxicity])
 @pytest.mark.parametrize("sample", [60, 100_000])
 def test_texts_stay_where_labels_are_joined(spark, monkeypatch, module, sample):
     plans = []
