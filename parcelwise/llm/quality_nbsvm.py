@@ -25,6 +25,8 @@ SIZE = 1 << BITS
 #: Bound on the labelled rows used; of them, one block of ``BLOCK`` calibrates.
 SAMPLE = 16_000
 BLOCK = 4_000
+#: Bytes of text hashed at once; the hashes of a byte take 16 bytes.
+SLICE = 1 << 20
 RUNS = (2, 3, 5, 9, 17)
 TENTHS = 10
 FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
@@ -150,7 +152,7 @@ def learnt(rows: DataFrame, block: int = BLOCK) -> Model | float:
     schema = pa.schema([("draw", pa.int64()), ("label", pa.int32()), ("found", pa.list_(pa.int32()))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, SLICE):
             found = [f.astype(np.int32) for f in features(*byte_view(batch.column(2)))]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate(found) if found else np.zeros(0, np.int32))
             yield batch_of(schema, draw=batch.column(0), label=batch.column(1), found=lists)
@@ -229,7 +231,7 @@ def score(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             scores = scores_of(shared.value, batch.column(1))
             yield batch_of(schema, doc_id=batch.column(0), score=scores, predicted=(scores >= threshold).astype(np.int32))
 
@@ -255,4 +257,4 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sampl
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows predicted 0, each by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(learnt(labelled_sample(docs, marks_of(labels, "quality", held_out()), sample)))
-    return kept_rows(docs, "text", lambda texts: scores_of(shared.value, texts) >= threshold)
+    return kept_rows(docs, "text", lambda texts: scores_of(shared.value, texts) >= threshold, SLICE)
