@@ -30,6 +30,9 @@ from parcelwise.llm.common import arrow_map, batch_of, byte_view, slices, stored
 ORDER = 5
 SLOTS = 1 << 22
 PIECE = 1 << 20
+#: Rows of counts that a worker holds before it merges them, and rows it hands to Spark at once.
+HELD = 1 << 20
+HANDED = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 INDEX_BITS = 20
 #: What a byte costs at the most in ``log_ppl``, in nats; infinity gives the model's own perplexity.
@@ -50,15 +53,20 @@ def grams(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def pieces(values: np.ndarray, offsets: np.ndarray, size: int | None = None) -> Iterator[np.ndarray]:
-    """``grams`` of a batch in pieces of ``size`` bytes, or ``PIECE``; a piece may start within a text."""
+    """``grams`` of a batch in pieces of ``size`` bytes, or ``PIECE``; a piece may start within a text.
+
+    A longer piece is filled ``PIECE`` bytes at a time.
+    """
     size = size or PIECE
-    for start in range(0, len(values), size):
-        first = max(0, start - ORDER + 1)
-        end = min(len(values), start + size)
-        inner = offsets[(offsets > first) & (offsets < end)]
-        cut = np.concatenate([[first], inner, [end]]) - first
-        packed = grams(values[first:end], cut)[start - first :]
-        # a text that began before ``first`` has all its bytes here but for the first ones of the piece
+    for begin in range(0, len(values), size):
+        packed = np.empty(min(size, len(values) - begin), np.uint64)
+        for at in range(0, len(packed), PIECE):
+            start, end = begin + at, begin + min(at + PIECE, len(packed))
+            first = max(0, start - ORDER + 1)
+            inner = offsets[(offsets > first) & (offsets < end)]
+            cut = np.concatenate([[first], inner, [end]]) - first
+            # a text that began before ``first`` has all its bytes here but for the first ones of the piece
+            packed[at : end - begin] = grams(values[first:end], cut)[start - first :]
         yield packed
 
 
@@ -77,10 +85,17 @@ def piece_counts(packed: np.ndarray, text: np.ndarray, names: np.ndarray) -> np.
 
 
 def merged(held: list[np.ndarray]) -> np.ndarray:
-    rows = np.concatenate(held, axis=1)
-    rows = rows[:, np.argsort(rows[0], kind="stable")]
-    starts = np.flatnonzero(np.diff(rows[0], prepend=-1))
-    return np.stack([rows[0, starts], np.add.reduceat(rows[1], starts), np.minimum.reduceat(rows[2], starts), np.maximum.reduceat(rows[3], starts)])
+    """One row for each n-gram; a column at a time, so that no second copy of all rows is needed."""
+    column = lambda i: np.concatenate([rows[i] for rows in held])
+    found = column(0)
+    order = np.argsort(found, kind="stable")
+    found = found[order]
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    result = np.empty((4, len(starts)), np.int64)
+    result[0] = found[starts]
+    for i, join in enumerate((np.add, np.minimum, np.maximum), 1):
+        join.reduceat(column(i)[order], starts, out=result[i])
+    return result
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -91,8 +106,10 @@ def counted(docs: DataFrame) -> DataFrame:
     """
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
-    def emit(rows: np.ndarray) -> pa.RecordBatch:
-        return batch_of(schema, gram=rows[0], n=rows[1], lo=rows[2].astype(np.int32), hi=rows[3].astype(np.int32))
+    def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, rows.shape[1], HANDED):
+            gram, n, lo, hi = rows[:, start : start + HANDED]
+            yield batch_of(schema, gram=gram, n=n, lo=lo.astype(np.int32), hi=hi.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -102,20 +119,20 @@ def counted(docs: DataFrame) -> DataFrame:
             data = values.tobytes()
             names = np.array([xxhash.xxh32_intdigest(data[a:b]) - (1 << 31) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
             at = 0
-            for packed in pieces(values, offsets):
+            for packed in pieces(values, offsets, HELD // 4):
                 text = np.searchsorted(offsets, np.arange(at, at + len(packed)), "right") - 1
                 at += len(packed)
                 first = text[0]
                 held.append(piece_counts(packed, text - first, names[first : text[-1] + 1]))
                 size += held[-1].shape[1]
-                if size > 4 * PIECE:
+                if size > HELD:
                     held = [merged(held)]
                     size = held[0].shape[1]
-                    if size > 2 * PIECE:
-                        yield emit(held[0])
+                    if size > HELD // 2:
+                        yield from emit(held[0])
                         held, size = [], 0
         if held:
-            yield emit(merged(held))
+            yield from emit(merged(held))
 
     return arrow_map(docs.select("text"), run, "gram long, n long, lo int, hi int").groupBy("gram").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
@@ -172,12 +189,13 @@ class Arrays:
             step += 1
         return found
 
-    def take(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability, or NaN, and log of the back-off weight, 0 if there is none."""
-        at = self.find(grams_)
+    def take(self, grams_: np.ndarray, what: str) -> np.ndarray:
+        """``logp``, the log probability, or NaN; or ``backoff``, the log of the back-off weight, 0 if there is none."""
+        lacking = np.float32(np.nan if what == "logp" else 0)
         if not len(self.hashes):
-            return np.full(len(at), np.nan, np.float32), np.zeros(len(at), np.float32)
-        return np.where(at >= 0, self.logp[at], np.float32(np.nan)), np.where(at >= 0, self.backoff[at], np.float32(0))
+            return np.full(len(grams_), lacking)
+        at = self.find(grams_)
+        return np.where(at >= 0, getattr(self, what)[at], lacking)
 
 
 @dataclass
@@ -187,17 +205,21 @@ class Parts:
     arrays: list[Broadcast]
     unseen: float
 
-    def take(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.arrays) == 1:
-            return self.arrays[0].value.take(grams_)
-        logp, backoff = np.empty(len(grams_), np.float32), np.empty(len(grams_), np.float32)
-        part = grams_ % np.uint64(len(self.arrays))
+    def take(self, grams_: np.ndarray, what: str) -> np.ndarray:
+        """As of ``Arrays``, for ``PIECE`` n-grams at a time: what a lookup needs besides does not grow with their number."""
+        parts = len(self.arrays)
+        found, part = np.empty(len(grams_), np.float32), np.zeros(len(grams_), np.min_scalar_type(parts))
+        blocks = [slice(start, start + PIECE) for start in range(0, len(grams_), PIECE)]
+        for block in blocks if parts > 1 else ():
+            part[block] = grams_[block] % np.uint64(parts)
         for i, shared in enumerate(self.arrays):
-            at = np.flatnonzero(part == i)
-            if len(at):
-                logp[at], backoff[at] = shared.value.take(grams_[at])
+            for block in blocks:
+                at = np.flatnonzero(part[block] == i)
+                if len(at):
+                    found[block][at] = shared.value.take(grams_[block][at], what)
+            if parts > 1:
                 vars(shared).pop("_value", None)  # one part at a time; it is read again from the executor's copy
-        return logp, backoff
+        return found
 
 
 def model(docs: DataFrame, slots: int = SLOTS) -> list[Arrays]:
@@ -284,17 +306,21 @@ def collected(entries: DataFrame) -> Arrays:
 def log_probabilities(orders: list[Arrays] | list[Parts], packed: np.ndarray) -> np.ndarray:
     """Natural log of the probability of the last byte of each packed n-gram."""
     result = np.zeros(len(packed), np.float64)
-    rest = np.arange(len(packed))
+    rest, here = None, packed  # the places that are still open, at first all of them, and their n-grams
     for k in range(ORDER, 0, -1):
-        here = packed[rest] & np.uint64((1 << (8 * k)) - 1)
-        logp, _ = orders[k - 1].take(here)
-        known = ~np.isnan(logp)
-        result[rest[known]] += logp[known]
-        rest, here = rest[~known], here[~known]
+        logp = orders[k - 1].take(here, "logp")
+        lacking = np.isnan(logp)
+        if rest is None:
+            np.copyto(result, logp, where=~lacking)
+        else:
+            result[rest[~lacking]] += logp[~lacking]
+        open_ = np.flatnonzero(lacking)
+        rest, here = open_ if rest is None else rest[open_], here[open_]
         if not len(rest):
             break
         if k > 1:
-            result[rest] += orders[k - 2].take(here >> np.uint64(8))[1]
+            result[rest] += orders[k - 2].take(here >> np.uint64(8), "backoff")
+            here &= np.uint64((1 << (8 * (k - 1))) - 1)
         else:
             result[rest] += orders[0].unseen
     return result
@@ -337,8 +363,10 @@ def measured(docs: DataFrame, orders: list[Parts], worst: float = WORST) -> Data
             values, offsets = byte_view(batch.column(2))
             total, at = np.zeros(batch.num_rows), 0
             for packed in pieces(values, offsets, piece):
-                costs = np.maximum(log_probabilities(orders, packed), -worst)
-                running = np.concatenate([[0.0], np.cumsum(costs)])
+                costs = log_probabilities(orders, packed)
+                running = np.zeros(len(costs) + 1)
+                np.cumsum(np.maximum(costs, -worst, out=costs), out=running[1:])
+                del costs
                 ends = np.clip(offsets - at, 0, len(packed))
                 total += running[ends[1:]] - running[ends[:-1]]
                 at += len(packed)
